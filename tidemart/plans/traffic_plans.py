@@ -73,16 +73,17 @@ def page_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNTIL, _DAYS = "2001-08-01", 365
 
 
+_BUYERS = """select user_id, min(split_part(create_time, ' ', 1)) first_day, sum(total_amount) spent
+    from order_info group by user_id"""
+_SEEN = "select user_id, min(dt) first_day from day_page group by user_id"
+_NEW = f"cast(first_day as date) > date '{_UNTIL}' - {_DAYS} and cast(first_day as date) <= date '{_UNTIL}'"
+
+
 @query("user_total", with_views(f"""
-    with buyer as (select user_id, min(split_part(create_time, ' ', 1)) bought, sum(total_amount) spent
-                   from order_info group by user_id)
     select (select count(*) from user_info) user_total, count(*) order_user_total,
-           (select count(*) from (select user_id, min(dt) seen from day_page group by user_id)
-            where cast(seen as date) > date '{_UNTIL}' - {_DAYS} and cast(seen as date) <= date '{_UNTIL}') new_user_count,
-           count(*) filter (cast(bought as date) > date '{_UNTIL}' - {_DAYS}
-                            and cast(bought as date) <= date '{_UNTIL}') new_order_user_count,
-           cast(sum(spent) as double) / count(*) pct
-    from buyer"""))
+           (select count(*) from ({_SEEN}) where {_NEW}) new_user_count,
+           count(*) filter ({_NEW}) new_order_user_count, cast(sum(spent) as double) / count(*) pct
+    from ({_BUYERS})"""))
 def user_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.user_total(D.user_info(spark, sf_dir), I.pages(spark, sf_dir),
                               D.order_info(spark, sf_dir), _UNTIL, _DAYS)

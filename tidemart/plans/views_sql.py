@@ -37,12 +37,14 @@ def _change(name: str, view: str, data: str, kind: str = change_kind("id"), occu
 
 
 def _json(**fields: str) -> str:
-    """A JSON object as text; a value in quotes stands for a text column."""
+    """A JSON object as text, keys sorted; a value in quotes stands for a text column, * marks money."""
     parts = []
-    for name, source in fields.items():
+    for name, source in sorted(fields.items()):
         quote = '"' if source.startswith("'") else ""
-        column = source.strip("'")
-        parts.append(f"'\"{name}\":{quote}' || cast({column} as varchar) || '{quote}'")
+        text = f"cast({source.strip("'*")} as varchar)"
+        if source.startswith("*"):
+            text = f"rtrim(rtrim({text}, '0'), '.')"
+        parts.append(f"'\"{name}\":{quote}' || {text} || '{quote}'")
     return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 
@@ -112,13 +114,13 @@ VIEWS = {
     "change": " union all ".join([
         _change("order_info", "order_info", _json(
             id="id", province_id="province_id", order_status="'order_status'", user_id="user_id",
-            total_amount="total_amount", activity_reduce_amount="0.0000", coupon_reduce_amount="0.0000",
-            original_total_amount="0.0000", feight_fee="0.0000", feight_fee_reduce="0.0000",
+            total_amount="*total_amount", activity_reduce_amount="0", coupon_reduce_amount="0",
+            original_total_amount="0", feight_fee="0", feight_fee_reduce="0",
             create_time="'create_time'")),
         _change("order_detail", "order_detail", _json(
-            id="id", order_id="order_id", sku_id="sku_id", order_price="order_price", sku_num="sku_num",
-            sku_name="'sku_name'", create_time="'create_time'", split_total_amount="split_total_amount",
-            split_activity_amount="0.0000", split_coupon_amount="split_coupon_amount")),
+            id="id", order_id="order_id", sku_id="sku_id", order_price="*order_price", sku_num="sku_num",
+            sku_name="'sku_name'", create_time="'create_time'", split_total_amount="*split_total_amount",
+            split_activity_amount="0", split_coupon_amount="*split_coupon_amount")),
         _change("user_info", "user_info", _USER_JSON),
         _change("user_info", "user_info", _FLIPPED, "'update'", 1),
         _change("base_province", "base_province", _json(

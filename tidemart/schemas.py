@@ -15,15 +15,15 @@ def ddl(layout: Layout) -> str:
 
 
 def text_ddl(layout: Layout) -> str:
-    """The same columns, all as text: a JSON number may or may not be quoted."""
-    return ", ".join(f"`{name}` STRING" for name, _ in layout)
+    """The same columns as text, save decimals: a JSON number may or may not be quoted."""
+    return ", ".join(f"`{name}` {kind if kind.startswith('DECIMAL') else 'STRING'}" for name, kind in layout)
 
 
 def names(layout: Layout) -> list[str]:
     return [name for name, _ in layout]
 
 
-# Raw behaviour log. Every leaf is text; `err` is opaque and stays one JSON string.
+# Raw behaviour log. Every leaf is text; `err` is opaque.
 RAW_LOG_DDL = """
     common STRUCT<ar STRING, uid STRING, os STRING, ch STRING, is_new STRING,
                   md STRING, mid STRING, vc STRING, ba STRING>,
@@ -34,7 +34,7 @@ RAW_LOG_DDL = """
     actions ARRAY<STRUCT<item STRING, action_id STRING, item_type STRING, ts STRING>>,
     start STRUCT<entry STRING, open_ad_skip_ms STRING, open_ad_ms STRING,
                  loading_time STRING, open_ad_id STRING>,
-    err STRING, ts STRING, _corrupt_record STRING
+    err VARIANT, ts STRING, _corrupt_record STRING
 """
 
 COMMON: Layout = [(c, "STRING") for c in (

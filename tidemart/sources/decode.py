@@ -27,7 +27,7 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
 
     ``fault`` names what keeps a record from being used (NULL for a good one).
     """
-    parsed = _inline_json(raw, S.RAW_LOG_DDL, value)
+    parsed = _inline_json(raw, S.RAW_LOG_DDL, value).withColumn("err", _json_text("err"))
     return parsed.withColumn("fault", _log_fault(F.col(value)))
 
 
@@ -70,11 +70,24 @@ def usable(parsed_log: DataFrame) -> DataFrame:
 
 def parse_change(raw: DataFrame, value: str = "value") -> DataFrame:
     """Change records: ``type``, ``table`` and the row image ``data`` left as JSON text."""
-    return _inline_json(raw, "`type` STRING, `table` STRING, `data` STRING", value).drop(value)
+    parsed = _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT", value)
+    return parsed.drop(value).withColumn("data", _json_text("data"))
+
+
+def _json_text(column: str) -> Column:
+    """An opaque part as JSON text (keys sorted), NULL for a JSON null.
+
+    Such parts are read as VARIANT: read as text, their numbers would pass through DOUBLE.
+    """
+    return F.when(~F.is_variant_null(column), F.to_json(column))
 
 
 def parse_typed(raw: DataFrame, layout: S.Layout, value: str = "value") -> DataFrame:
-    """Fixed records. Numbers may be quoted; text that is no number becomes NULL."""
+    """Fixed records. Numbers may be quoted; text that is no number becomes NULL.
+
+    A decimal is read as such, which takes both forms and keeps all digits. Other numbers
+    are read as text, since the reader takes no quoted ones.
+    """
     kept = [c for c in raw.columns if c != value]
     parsed = _inline_json(raw.withColumnsRenamed({c: f"__{c}" for c in raw.columns}),
                           S.text_ddl(layout), f"__{value}")
