@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
-from tidemart.functions.scalars import dim_key, fact_topic, record_to_json, str_to_long
+from tidemart.functions.scalars import dim_key, fact_topic, str_to_long
 
 # fixed values: where each part of a log goes
 LOG_TOPICS = {
@@ -31,40 +31,30 @@ COMMON_FIELDS = {
 CHANGE_OPS = {"insert": "I", "bootstrap-insert": "I", "update": "U", "delete": "D"}
 
 
-def common_columns() -> list[Column]:
-    return [F.col(f"common.{short}").alias(name) for short, name in COMMON_FIELDS.items()]
-
-
-def _page_columns() -> list[Column]:
-    page = F.col("page")
-    return [page["page_id"].alias("page_id"), page["last_page_id"].alias("last_page_id"),
-            page["item"].alias("page_item"), page["item_type"].alias("page_item_type"),
-            str_to_long(page["during_time"]).alias("during_time"),
-            page["source_type"].alias("source_type")]
-
-
-def _ts() -> Column:
-    return str_to_long(F.col("ts")).alias("ts")
-
-
-def _display_columns(item: Column) -> list[Column]:
-    return [item["display_type"].alias("display_type"), item["item"].alias("display_item"),
-            item["item_type"].alias("display_item_type"),
-            str_to_long(item["order"]).alias("display_order"),
-            str_to_long(item["pos_id"]).alias("display_pos_id")]
-
-
-def _action_columns(item: Column) -> list[Column]:
-    return [item["action_id"].alias("action_id"), item["item"].alias("action_item"),
-            item["item_type"].alias("action_item_type"), str_to_long(item["ts"]).alias("action_ts")]
-
-
-def _start_columns() -> list[Column]:
-    start = F.col("start")
-    return [start["entry"].alias("entry")] + [
-        str_to_long(start[field]).alias(name) for field, name in (
-            ("open_ad_id", "open_ad_id"), ("loading_time", "loading_time_ms"),
-            ("open_ad_ms", "open_ad_ms"), ("open_ad_skip_ms", "open_ad_skip_ms"))]
+# Columns of the typed rows as SQL. `item` is one element of `displays` or `actions`.
+COMMON_COLUMNS = [f"common.{short} AS {name}" for short, name in COMMON_FIELDS.items()]
+PAGE_COLUMNS = [
+    "page.page_id AS page_id", "page.last_page_id AS last_page_id", "page.item AS page_item",
+    "page.item_type AS page_item_type", "try_cast(page.during_time AS BIGINT) AS during_time",
+    "page.source_type AS source_type"]
+DISPLAY_COLUMNS = [
+    "item.display_type AS display_type", "item.item AS display_item",
+    "item.item_type AS display_item_type", "try_cast(item.`order` AS BIGINT) AS display_order",
+    "try_cast(item.pos_id AS BIGINT) AS display_pos_id"]
+ACTION_COLUMNS = [
+    "item.action_id AS action_id", "item.item AS action_item",
+    "item.item_type AS action_item_type", "try_cast(item.ts AS BIGINT) AS action_ts"]
+START_COLUMNS = [
+    "start.entry AS entry", "try_cast(start.open_ad_id AS BIGINT) AS open_ad_id",
+    "try_cast(start.loading_time AS BIGINT) AS loading_time_ms",
+    "try_cast(start.open_ad_ms AS BIGINT) AS open_ad_ms",
+    "try_cast(start.open_ad_skip_ms AS BIGINT) AS open_ad_skip_ms"]
+TS_COLUMN = ["try_cast(ts AS BIGINT) AS ts"]
+
+
+def common_rows(log: DataFrame, *keep: str) -> DataFrame:
+    """What every record that is no failure has: who, where, with what, when."""
+    return log.where("err IS NULL").selectExpr(*keep, *COMMON_COLUMNS, *TS_COLUMN)
 
 
 def error_rows(log: DataFrame, *keep: str) -> DataFrame:
@@ -73,27 +63,25 @@ def error_rows(log: DataFrame, *keep: str) -> DataFrame:
 
 
 def page_rows(log: DataFrame, *keep: str) -> DataFrame:
-    return _pages(log).select(*keep, *common_columns(), *_page_columns(), _ts())
+    return _pages(log).selectExpr(*keep, *COMMON_COLUMNS, *PAGE_COLUMNS, *TS_COLUMN)
 
 
 def start_rows(log: DataFrame, *keep: str) -> DataFrame:
     """Independent of ``page_rows``: one record may have both parts."""
     return (log.where("err IS NULL AND start IS NOT NULL")
-            .select(*keep, *common_columns(), *_start_columns(), _ts()))
+            .selectExpr(*keep, *COMMON_COLUMNS, *START_COLUMNS, *TS_COLUMN))
 
 
 def display_rows(log: DataFrame, *keep: str) -> DataFrame:
     """A row per display of a page; no displays, no rows."""
-    items = _pages(log).select(*keep, "common", "page", "ts", F.explode("displays").alias("_item"))
-    return items.select(*keep, *common_columns(), *_page_columns(),
-                        *_display_columns(F.col("_item")), _ts())
+    items = _pages(log).selectExpr(*keep, "common", "page", "ts", "explode(displays) AS item")
+    return items.selectExpr(*keep, *COMMON_COLUMNS, *PAGE_COLUMNS, *DISPLAY_COLUMNS, *TS_COLUMN)
 
 
 def action_rows(log: DataFrame, *keep: str) -> DataFrame:
     """A row per action on a page; no actions, no rows."""
-    items = _pages(log).select(*keep, "common", "page", "ts", F.explode("actions").alias("_item"))
-    return items.select(*keep, *common_columns(), *_page_columns(),
-                        *_action_columns(F.col("_item")), _ts())
+    items = _pages(log).selectExpr(*keep, "common", "page", "ts", "explode(actions) AS item")
+    return items.selectExpr(*keep, *COMMON_COLUMNS, *PAGE_COLUMNS, *ACTION_COLUMNS, *TS_COLUMN)
 
 
 def _pages(log: DataFrame) -> DataFrame:
@@ -107,26 +95,23 @@ def route_log(log: DataFrame, suffix: str = "") -> DataFrame:
     cached and re-read per output.
     """
     tail = f"_{suffix}" if suffix else ""
-    common, page, ts = common_columns(), _page_columns(), _ts()
-
-    def message(route: str, value: Column) -> Column:
-        return F.struct(F.lit(LOG_TOPICS[route] + tail).alias("topic"), value.alias("value"))
-
-    def each(items: str, route: str, columns) -> Column:
-        made = F.transform(items, lambda item: message(
-            route, record_to_json(*common, *page, *columns(item), ts)))
-        return F.when(F.col("page").isNotNull(), made)
-
-    def one(present: str, route: str, *columns: Column) -> Column:
-        return F.when(F.col(present).isNotNull(),
-                      F.array(message(route, record_to_json(*common, *columns, ts))))
-
-    none = F.array().cast("array<struct<topic:string,value:string>>")
-    normal = F.concat(*(F.coalesce(part, none) for part in (
-        one("page", "page", *page), each("displays", "display", _display_columns),
-        each("actions", "action", _action_columns), one("start", "start", *_start_columns()))))
-    failing = F.array(message("error", F.col("err")))
-    return log.select(F.inline(F.when(F.col("err").isNotNull(), failing).otherwise(normal)))
+
+    def message(route: str, *columns: str) -> str:
+        record = ", ".join([*COMMON_COLUMNS, *columns, *TS_COLUMN])
+        return f"struct('{LOG_TOPICS[route]}{tail}' AS topic, to_json(struct({record})) AS value)"
+
+    page = message("page", *PAGE_COLUMNS)
+    display = message("display", *PAGE_COLUMNS, *DISPLAY_COLUMNS)
+    action = message("action", *PAGE_COLUMNS, *ACTION_COLUMNS)
+    start = message("start", *START_COLUMNS)
+    return log.selectExpr(f"""inline(
+        CASE WHEN err IS NOT NULL THEN array(struct('{LOG_TOPICS["error"]}{tail}' AS topic, err AS value))
+        ELSE concat(
+            CASE WHEN page IS NULL THEN array() ELSE concat(
+                array({page}),
+                transform(coalesce(displays, array()), item -> {display}),
+                transform(coalesce(actions, array()), item -> {action})) END,
+            CASE WHEN start IS NULL THEN array() ELSE array({start}) END) END)""")
 
 
 def change_op(kind: Column) -> Column:

@@ -65,7 +65,8 @@ def latest_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dim_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts as one batch, updates and deletes as a later one that is run twice; then what is current."""
     path = scratch_dir(spark, "dims")
-    changes = I.dim_changes(spark, sf_dir)
+    I.dim_changes(spark, sf_dir).write.parquet(f"{path}-changes")
+    changes = spark.read.parquet(f"{path}-changes")
     jobs.write_dims(changes.where("op = 'I'"), 0, path)
     for _ in range(2):
         jobs.write_dims(changes.where("op <> 'I'"), 1, path)

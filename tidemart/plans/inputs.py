@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemart import schemas as S
 from tidemart.operators import dau, orders, routing
+from tidemart.session import scratch_dir
+from tidemart.sinks.topics import file_sink
 from tidemart.sources import decode, driver_tables as D
 from tidemart.sources.driver_tables import AS_OF
 
@@ -44,11 +46,18 @@ def dim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.dim_route(changes(spark, sf_dir), D.table_list(spark, D.DIM_TABLES), "seq")
 
 
-def inserted(spark: SparkSession, sf_dir: str, table: str, layout: S.Layout) -> DataFrame:
-    """Rows of the topic of new rows of a fact table."""
+def stored_topics(spark: SparkSession, sf_dir: str) -> str:
+    """Writes all fact topics once, as the change router does, and returns their folder."""
+    path = scratch_dir(spark, "facts")
+    file_sink(path)(fact_topic_rows(spark, sf_dir), 0)
+    return path
+
+
+def inserted(spark: SparkSession, path: str, table: str, layout: S.Layout) -> DataFrame:
+    """Rows of the topic of new rows of a fact table; other topics' files are not read."""
     topic = f"DWD_{table.upper()}_I_{SUFFIX}"
-    rows = fact_topic_rows(spark, sf_dir).where(F.col("topic") == topic).select("value")
-    return decode.parse_typed(rows, layout)
+    stored = spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
+    return decode.parse_typed(stored.where(F.col("topic") == topic).select("value"), layout)
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:

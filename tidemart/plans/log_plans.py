@@ -58,8 +58,7 @@ def log_error_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_common", with_views(f"select seq, {_COMMON}, ts from logs where kind <> 'error'"))
 def log_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = I.logs(spark, sf_dir).where("err IS NULL")
-    return log.select("seq", *routing.common_columns(), scalars.str_to_long(F.col("ts")).alias("ts"))
+    return routing.common_rows(I.logs(spark, sf_dir), "seq")
 
 
 @query("log_page", with_views("select * from page"))

@@ -47,13 +47,15 @@ def _inserted(view: str) -> str:
 @query("parse_typed_header", with_views(
     f"select {_fields(S.ORDER_HEADER, _HEADER)} from {_inserted('order_info')}"))
 def parse_typed_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.result(I.inserted(spark, sf_dir, "order_info", S.ORDER_HEADER))
+    topics = I.stored_topics(spark, sf_dir)
+    return I.result(I.inserted(spark, topics, "order_info", S.ORDER_HEADER))
 
 
 @query("parse_typed_line", with_views(
     f"select {_fields(S.ORDER_LINE, _LINE)} from {_inserted('order_detail')}"))
 def parse_typed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.result(I.inserted(spark, sf_dir, "order_detail", S.ORDER_LINE))
+    topics = I.stored_topics(spark, sf_dir)
+    return I.result(I.inserted(spark, topics, "order_detail", S.ORDER_LINE))
 
 
 @query("order_detail_full_outer", with_views(f"""
@@ -62,8 +64,9 @@ def parse_typed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     from {_inserted('order_info')} h full join {_inserted('order_detail')} d on h.id = d.order_id"""))
 def order_detail_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New headers and new lines; many of either have no partner."""
-    joined = orders.full_outer(I.inserted(spark, sf_dir, "order_info", S.ORDER_HEADER),
-                               I.inserted(spark, sf_dir, "order_detail", S.ORDER_LINE))
+    topics = I.stored_topics(spark, sf_dir)
+    joined = orders.full_outer(I.inserted(spark, topics, "order_info", S.ORDER_HEADER),
+                               I.inserted(spark, topics, "order_detail", S.ORDER_LINE))
     return joined.select("order_id", F.col("h_id").alias("header_id"), F.col("d_id").alias("detail_id"),
                          F.col("h_create_time").alias("header_time"), F.col("d_create_time").alias("line_time"))
 
@@ -74,8 +77,9 @@ def order_detail_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'line', id, order_id from {_inserted('order_detail')}
     where order_id not in (select id from {_inserted('order_info')})"""))
 def unmatched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = I.inserted(spark, sf_dir, "order_info", S.ORDER_HEADER)
-    lines = I.inserted(spark, sf_dir, "order_detail", S.ORDER_LINE)
+    topics = I.stored_topics(spark, sf_dir)
+    headers = I.inserted(spark, topics, "order_info", S.ORDER_HEADER)
+    lines = I.inserted(spark, topics, "order_detail", S.ORDER_LINE)
     return (orders.unmatched_headers(headers, lines)
             .select(F.lit("header").alias("side"), "id", F.col("id").alias("order_id"))
             .unionByName(orders.unmatched_lines(headers, lines)

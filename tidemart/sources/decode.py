@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
-from tidemart.functions.scalars import str_to_long
 
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
@@ -28,32 +27,27 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
     ``fault`` names what keeps a record from being used (NULL for a good one).
     """
     parsed = _inline_json(raw, S.RAW_LOG_DDL, value).withColumn("err", _json_text("err"))
-    return parsed.withColumn("fault", _log_fault(F.col(value)))
-
-
-def _log_fault(value: Column) -> Column:
-    def missing(name: str, text: Column) -> Column:
-        return F.when(str_to_long(text).isNull(), F.lit(name))
-
-    def any_missing(name: str, items: str, field: str) -> Column:
-        bad = F.exists(items, lambda item: str_to_long(item[field]).isNull())
-        return F.when(bad, F.lit(name))
-
-    page, start = F.col("page"), F.col("start")
-    on_page = F.concat_ws(
-        ",", missing("during_time", page["during_time"]),
-        any_missing("displays.pos_id", "displays", "pos_id"),
-        any_missing("displays.order", "displays", "order"),
-        any_missing("actions.ts", "actions", "ts"))
-    on_start = F.concat_ws(
-        ",", *(missing(f, start[f]) for f in
-               ("open_ad_skip_ms", "open_ad_ms", "loading_time", "open_ad_id")))
-    found = F.concat_ws(
-        ",", F.when(F.col("common").isNull(), F.lit("common")), missing("ts", F.col("ts")),
-        F.when(page.isNotNull(), F.nullif(on_page, F.lit(""))),
-        F.when(start.isNotNull(), F.nullif(on_start, F.lit(""))))
-    return (F.when(value.isNull() | F.col("_corrupt_record").isNotNull(), F.lit("bad_json"))
-            .when(F.col("err").isNull(), F.nullif(found, F.lit(""))))
+    return parsed.withColumn("fault", _log_fault(value))
+
+
+def _log_fault(value: str) -> Column:
+    def not_long(name: str, text: str) -> str:
+        return f"CASE WHEN try_cast({text} AS BIGINT) IS NULL THEN '{name}' END"
+
+    def any_not_long(items: str, field: str) -> str:
+        return (f"CASE WHEN exists({items}, i -> try_cast(i.`{field}` AS BIGINT) IS NULL) "
+                f"THEN '{items}.{field}' END")
+
+    on_page = ", ".join([not_long("during_time", "page.during_time"), any_not_long("displays", "pos_id"),
+                         any_not_long("displays", "order"), any_not_long("actions", "ts")])
+    on_start = ", ".join(not_long(f, f"start.{f}") for f in
+                         ("open_ad_skip_ms", "open_ad_ms", "loading_time", "open_ad_id"))
+    return F.expr(f"""
+        CASE WHEN `{value}` IS NULL OR _corrupt_record IS NOT NULL THEN 'bad_json'
+             WHEN err IS NULL THEN nullif(concat_ws(',',
+                 CASE WHEN common IS NULL THEN 'common' END, {not_long("ts", "ts")},
+                 CASE WHEN page IS NOT NULL THEN nullif(concat_ws(',', {on_page}), '') END,
+                 CASE WHEN start IS NOT NULL THEN nullif(concat_ws(',', {on_start}), '') END), '') END""")
 
 
 def quarantine(parsed_log: DataFrame, value: str = "value") -> DataFrame:

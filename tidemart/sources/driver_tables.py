@@ -18,55 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _millis(ts: Column) -> Column:
-    """Epoch milliseconds of a zone-less timestamp read as UTC, rounded down."""
-    second = F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("bigint")
-    return (F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000
-            + F.hour(ts).cast("bigint") * 3_600_000 + F.minute(ts) * 60_000 + second)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    For tables whose rows are turned into JSON and back, which is much work per row: one
+    small file would be a single task. A table read by enough tasks is left as it is, so
+    large tables are not shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, value``: one behaviour-log message per event."""
-    return log_messages(table(spark, sf_dir, "events"))
+    return log_messages(spread(table(spark, sf_dir, "events")))
 
 
 def log_messages(events: DataFrame) -> DataFrame:
-    event = events.select(
-        "event_id", "user_id", "event_type", _millis(F.col("ts")).alias("ms"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    i, k, ms = F.col("event_id"), F.col("k"), F.col("ms")
-    kind = F.col("event_type")
-
-    def text(number: Column, prefix: str = "") -> Column:
-        return F.concat(F.lit(prefix), number.cast("string"))
-
-    common = F.struct(
-        text(F.col("user_id") % 25).alias("ar"), text(F.col("user_id")).alias("uid"),
-        text(k % 2, "os").alias("os"), text(k % 3, "ch").alias("ch"), text(k % 2).alias("is_new"),
-        text(k % 7, "md").alias("md"), text(F.col("user_id"), "mid_").alias("mid"),
-        F.lit("v2.1").alias("vc"), text(k % 5, "ba").alias("ba"))
-    page = F.struct(
-        text(i % 5, "p").alias("page_id"), text(i % 100).alias("item"),
-        text(i % 10000).alias("during_time"), F.lit("sku_id").alias("item_type"),
-        F.when(i % 3 != 0, text((i + 1) % 5, "p")).alias("last_page_id"),
-        F.lit("query").alias("source_type"))
-    displays = F.transform(F.sequence(F.lit(1), (k % 4).cast("int")), lambda n: F.struct(
-        F.lit("promo").alias("display_type"), text((i + n) % 100).alias("item"),
-        F.lit("sku_id").alias("item_type"), text(n % 5).alias("pos_id"), text(n).alias("order")))
-    actions = F.array(F.struct(
-        text(i % 100).alias("item"), kind.alias("action_id"),
-        F.lit("sku_id").alias("item_type"), text(ms + 500).alias("ts")))
-    start = F.struct(
-        F.lit("icon").alias("entry"), F.lit("0").alias("open_ad_skip_ms"),
-        text(k * 3).alias("open_ad_ms"), text(k * 10).alias("loading_time"), text(k).alias("open_ad_id"))
-    err = F.struct(k.alias("error_code"), F.lit("boom").alias("msg"))
-    is_page = kind != "signup"
-    return event.select(i.alias("seq"), F.to_json(F.struct(
-        common.alias("common"), F.when(is_page, page).alias("page"),
-        F.when(is_page & (k % 4 > 0), displays).alias("displays"),
-        F.when(kind.isin("click", "purchase"), actions).alias("actions"),
-        F.when(~is_page, start).alias("start"), F.when(kind == "error", err).alias("err"),
-        ms.alias("ts"))).alias("value"))
+    # The zone-less timestamp is read as UTC and rounded down to milliseconds.
+    event = events.selectExpr(
+        "event_id AS i", "user_id AS u", "event_type AS kind",
+        """unix_date(CAST(ts AS DATE)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L
+           + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT) AS ms""",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    return event.selectExpr("i AS seq", """to_json(struct(
+        struct(CAST(u % 25 AS STRING) AS ar, CAST(u AS STRING) AS uid, 'os' || k % 2 AS os,
+               'ch' || k % 3 AS ch, CAST(k % 2 AS STRING) AS is_new, 'md' || k % 7 AS md,
+               'mid_' || u AS mid, 'v2.1' AS vc, 'ba' || k % 5 AS ba) AS common,
+        CASE WHEN kind <> 'signup' THEN
+            struct('p' || i % 5 AS page_id, CAST(i % 100 AS STRING) AS item,
+                   CAST(i % 10000 AS STRING) AS during_time, 'sku_id' AS item_type,
+                   CASE WHEN i % 3 <> 0 THEN 'p' || (i + 1) % 5 END AS last_page_id,
+                   'query' AS source_type) END AS page,
+        CASE WHEN kind <> 'signup' AND k % 4 > 0 THEN transform(sequence(1L, k % 4), n ->
+            struct('promo' AS display_type, CAST((i + n) % 100 AS STRING) AS item,
+                   'sku_id' AS item_type, CAST(n % 5 AS STRING) AS pos_id,
+                   CAST(n AS STRING) AS `order`)) END AS displays,
+        CASE WHEN kind IN ('click', 'purchase') THEN array(
+            struct(CAST(i % 100 AS STRING) AS item, kind AS action_id, 'sku_id' AS item_type,
+                   CAST(ms + 500 AS STRING) AS ts)) END AS actions,
+        CASE WHEN kind = 'signup' THEN
+            struct('icon' AS entry, '0' AS open_ad_skip_ms, CAST(k * 3 AS STRING) AS open_ad_ms,
+                   CAST(k * 10 AS STRING) AS loading_time, CAST(k AS STRING) AS open_ad_id) END AS start,
+        CASE WHEN kind = 'error' THEN struct(k AS error_code, 'boom' AS msg) END AS err,
+        ms AS ts)) AS value""")
 
 
 def damaged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +91,7 @@ def _laid_out(df: DataFrame, layout: S.Layout) -> DataFrame:
 
 
 def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     none, zero = F.lit(None).cast("string"), F.lit(0)
     return _laid_out(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -121,7 +116,7 @@ def _line_id() -> Column:
 
 def order_detail(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Order lines; ``extra`` names further lineitem columns to keep."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     joined = (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
