@@ -20,10 +20,14 @@ def kafka_sink(servers: str) -> TopicSink:
     return write
 
 
-def file_sink(path: str) -> TopicSink:
-    """Text files under ``topic=<name>/batch_id=<n>``; a batch run again replaces its files."""
+def file_sink(path: str, first: int = 0) -> TopicSink:
+    """Text files under ``topic=<name>/batch_id=<n>``; a batch run again replaces its files.
+
+    Batch numbers start at ``first``: for a job with a new checkpoint name a number that
+    the folder does not have yet, or its first batches would replace older ones.
+    """
     def write(messages: DataFrame, batch_id: int) -> None:
-        (messages.select("topic", "value", F.lit(batch_id).alias("batch_id"))
+        (messages.select("topic", "value", F.lit(first + batch_id).alias("batch_id"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("topic", "batch_id").text(path))
     return write

@@ -1,9 +1,11 @@
 """The streaming jobs: sources, transforms and sinks put together.
 
 Each job is one query with one checkpoint, which holds the progress of all its sources
-and moves on only after the output of a batch is written. Outputs are replaced when a
-batch is run again, so a restart at any point leaves the same tables. Tables that may
-change (dimensions, table lists) are read anew in every batch.
+and moves on only after the output of a batch is written. A batch that is run again
+leaves the same tables, so a job may stop at any point. Each start of a job numbers its
+layers from after those already stored: a new checkpoint, whose batches begin at 0 again,
+does not touch them. Tables that may change (dimensions, table lists) are read anew in
+every batch.
 """
 
 from __future__ import annotations
@@ -55,13 +57,16 @@ def run_to_end(query: StreamingQuery, timeout: int = 3600) -> None:
 
 
 def log_router(raw: DataFrame, sink: TopicSink, checkpoint: str, suffix: str = "",
-               bad_records: str | None = None, **how) -> StreamingQuery:
-    """Raw logs -> error, page, display, action and start topics; bad records set aside."""
+               bad_records: str | None = None, first: int = 0, **how) -> StreamingQuery:
+    """Raw logs -> error, page, display, action and start topics; bad records set aside.
+
+    ``first`` is for a new checkpoint, as in ``file_sink``.
+    """
     def batch(rows: DataFrame, batch_id: int) -> None:
         parsed = decode.parse_log(rows)
         sink(routing.route_log(decode.usable(parsed), suffix), batch_id)
         if bad_records:
-            (decode.quarantine(parsed).withColumn("batch_id", F.lit(batch_id))
+            (decode.quarantine(parsed).withColumn("batch_id", F.lit(first + batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(bad_records))
     return start(raw, batch, checkpoint, **how)
@@ -87,11 +92,13 @@ def read_dims(spark: SparkSession, path: str, name: str, ids: DataFrame | None =
 def change_router(raw: DataFrame, fact_tables: Tables, dim_tables: Tables, sink: TopicSink,
                   dim_path: str, checkpoint: str, suffix: str, **how) -> StreamingQuery:
     """Change records -> fact topics and the dimension table. ``raw`` has ``value`` and ``seq``."""
+    base = keyed.next_layer(raw.sparkSession, dim_path, DIM_LAYOUT)
+
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         changes = decode.parse_change(rows)
         sink(routing.fact_route(changes, fact_tables(spark), suffix), batch_id)
-        write_dims(routing.dim_route(changes, dim_tables(spark), "seq"), batch_id, dim_path)
+        write_dims(routing.dim_route(changes, dim_tables(spark), "seq"), base + batch_id, dim_path)
     return start(raw, batch, checkpoint, **how)
 
 
@@ -106,6 +113,7 @@ def dau_job(pages: DataFrame, dim_path: str, dau_path: str, checkpoint: str, as_
     A restart goes on with the dedup state of the checkpoint. ``recover`` is for a start
     without one: devices that are stored already for the days of a batch are left out.
     """
+    base = keyed.next_layer(pages.sparkSession, dau_path, S.DAU_WIDE)
     first = dedup.dau_dedup_stream(dedup.session_first_page(pages), delay, salts)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -118,9 +126,8 @@ def dau_job(pages: DataFrame, dim_path: str, dau_path: str, checkpoint: str, as_
             # The days of a batch are few; naming them keeps other partitions from being read.
             days = [r.dt for r in wide.select("dt").distinct().collect()]
             stored = keyed.layers(spark, dau_path, S.DAU_WIDE).where(F.col("dt").isin(days))
-            earlier = stored.where(F.col(keyed.LAYER) != batch_id)
-            wide = dedup.not_stored(wide, earlier, ["mid", "dt"])
-        keyed.upsert(wide, batch_id, dau_path, ["mid"], ["ts"])
+            wide = dedup.not_stored(wide, stored, ["mid", "dt"])
+        keyed.upsert(wide, base + batch_id, dau_path, ["mid"], ["ts"])
     return start(first, batch, checkpoint, **how)
 
 
@@ -132,6 +139,7 @@ def order_job(headers: DataFrame, lines: DataFrame, dim_path: str, wide_path: st
     The table is partitioned by day of the order (column ``dt``) unless ``partition`` says
     otherwise; a replay of many years wants something coarser than days.
     """
+    base = keyed.next_layer(headers.sparkSession, wide_path, ORDER_WIDE_STORED)
     joined = orders.join_order_streams(headers, lines, within, salts)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -145,5 +153,5 @@ def order_job(headers: DataFrame, lines: DataFrame, dim_path: str, wide_path: st
             {c: f"h_{c}" for c in enriched.columns if c not in line_columns})
         wide = orders.merge_order_wide(back).withColumn(
             "dt", F.col("create_date") if partition is None else partition)
-        keyed.upsert(wide, batch_id, wide_path, ["order_id", "detail_id"], ["create_time"], files=files)
+        keyed.upsert(wide, base + batch_id, wide_path, ["order_id", "detail_id"], ["create_time"], files=files)
     return start(joined, batch, checkpoint, **how)
