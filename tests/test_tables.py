@@ -159,21 +159,22 @@ def test_dau_questions_of_one_day(spark):
 
 def test_far_pages_equal_near_pages(spark):
     random.seed(3)
-    items = [(i, f"2001-01-0{random.randint(1, 4)} 0{random.randint(0, 3)}:00:0{random.randint(0, 2)}",
-              random.choice(["red ring", "blue ring"])) for i in range(300)]
-    items.append((900, None, "red ring"))
+    items = [(random.choice([i, -i << 20, i << 40, i << 55]),
+              f"2001-01-0{random.randint(1, 4)} 0{random.randint(0, 3)}:00:0{random.randint(0, 2)}",
+              random.choice(["red ring", "blue ring"])) for i in range(1, 255)]
+    items += [(i << 50, "2001-01-02 00:00:00", "red ring") for i in range(300, 330)]
+    items += [(900, None, "red ring"), (-7, None, "red ring")]
     wide = spark.createDataFrame(items, "detail_id bigint, create_time string, sku_name string").selectExpr(
         "*", "1 order_price", "'p' province_name", "1 sku_num", "1 total_amount", "20 user_age", "'F' user_gender",
-        "split_part(create_time, ' ', 1) create_date")
-    total = wide.where("sku_name = 'red ring'").count()
-    seen = []
-    for page in range(1, total // 20 + 3):
-        near = search.detail_page(wide, "red", page=page, page_size=20).collect()
-        far = search.detail_page(wide, "red", page=page, page_size=20, near=0).collect()
-        assert sorted(near) == sorted(far)
-        seen += [r.detail_id for r in near]
-        assert all(r.total == total and r.sku_name == "<em>red</em> ring" for r in near)
-    assert len(seen) == total == len(set(seen))
+        "split_part(create_time, ' ', 1) create_date").persist()
+    ordered = sorted(((i[1] is not None, i[1] or "", i[0]) for i in items if i[2] == "red ring"))
+    size = 25
+    for page in (1, 3, len(ordered) // size + 1, len(ordered) // size + 2):
+        expected = [r[2] for r in ordered[(page - 1) * size:page * size]]
+        for near in (10_000, 0):
+            got = search.detail_page(wide, "red", page=page, page_size=size, near=near).collect()
+            assert sorted(r.detail_id for r in got) == sorted(expected)
+            assert all(r.total == len(ordered) and r.sku_name == "<em>red</em> ring" for r in got)
     assert search.detail_page(wide, "red", page=1, page_size=7).count() == 7
     assert search.detail_page(wide, "", page=1).count() == 0
 

@@ -24,3 +24,14 @@ def dau_table(pages: DataFrame, users: DataFrame, provinces: DataFrame, as_of: C
               order: list[str] | None = None) -> DataFrame:
     """Page rows -> daily-active table: few rows are left before anything is looked up."""
     return dau_wide(dau_dedup(session_first_page(pages), order), users, provinces, as_of)
+
+
+def first_seen(pages: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``mid, dt, hr, ts`` of the daily-active table, for questions that need no more of it.
+
+    Only the time is carried along, so it is a hash aggregate of a number: no sort, and no
+    lookups.
+    """
+    openers = session_first_page(pages).select("mid", "ts")
+    first = openers.groupBy("mid", ts_to_dt(F.col("ts"), zone).alias("dt")).agg(F.min("ts").alias("ts"))
+    return first.select("mid", "dt", ts_to_hr(F.col("ts"), zone).alias("hr"), "ts")

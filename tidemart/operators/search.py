@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemart.functions.scalars import create_date
 from tidemart.functions.text import highlight, match_all_terms, match_any_term
 from tidemart.operators.documents import bool_query, in_range
 
@@ -52,23 +53,28 @@ def detail_page(order_wide: DataFrame, keyword: str, day: str | None = None,
 def far_rows(hits: DataFrame, first: int, size: int) -> DataFrame:
     """Rows ``first .. first+size-1`` by ``create_time, detail_id``, found by counting.
 
-    Lines are counted per second, seconds are added up within their day (86,400 at most)
-    and days among each other. Only lines of the seconds the page touches get a number.
+    Groups of rows are counted, coarse to fine: days, seconds, then ids by their upper 16,
+    32 and 48 bits. After each count only the groups that reach into the page are looked
+    into further. A page of ``size`` rows touches that many groups at most, which is what is
+    broadcast, and a last group holds 65,536 ids at most, whatever the rows look like.
     """
-    clock = F.coalesce("create_time", F.lit(""))
-    timed = hits.withColumn("_time", clock).withColumn("_day", F.split_part(clock, F.lit(" "), F.lit(1)))
-    second = timed.groupBy("_day", "_time").agg(F.count("*").alias("_n"))
-    day = second.groupBy("_day").agg(F.sum("_n").alias("_day_n"))
-    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    day = day.select("_day", F.coalesce(F.sum("_day_n").over(earlier), F.lit(0)).alias("_days_before"))
-    in_day = Window.partitionBy("_day").orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (second.withColumn("_in_day", F.coalesce(F.sum("_n").over(in_day), F.lit(0)))
-              .join(day, "_day").withColumn("_before", F.col("_days_before") + F.col("_in_day")))
-    touched = placed.where((F.col("_before") < first + size) & (F.col("_before") + F.col("_n") > first))
-    number = F.row_number().over(Window.partitionBy("_time").orderBy("detail_id"))
-    numbered = (timed.join(touched.select("_time", "_before"), "_time")
-                .withColumn("_pos", F.col("_before") + number - 1))
-    return numbered.where((F.col("_pos") >= first) & (F.col("_pos") < first + size)).select(*hits.columns)
+    time = F.coalesce("create_time", F.lit(""))
+    steps = {"_known": F.col("create_time").isNotNull(), "_day": create_date(time), "_time": time,
+             **{f"_id{bits}": F.shiftright("detail_id", bits) for bits in (48, 32, 16)}}
+    rows = hits.withColumns(steps)
+    group: list[str] = []
+    found = rows.withColumn("_before", F.lit(0).cast("bigint"))
+    for step in steps:
+        counts = found.groupBy("_before", *group, step).agg(F.count("*").alias("_n"))
+        smaller = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        before = (F.col("_before") + F.coalesce(F.sum("_n").over(smaller), F.lit(0))).alias("_before")
+        group = [*group, step]
+        touched = counts.select(*group, before, "_n").where(
+            (F.col("_before") < first + size) & (F.col("_before") + F.col("_n") > first)).drop("_n")
+        found = rows.join(F.broadcast(touched), group)
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("detail_id"))
+    placed = found.withColumn("_pos", F.col("_before") + number - 1)
+    return placed.where((F.col("_pos") >= first) & (F.col("_pos") < first + size)).select(*hits.columns)
 
 
 def search_by_condition(movies: DataFrame, words: str, min_score: float | None = None,

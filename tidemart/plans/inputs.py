@@ -73,3 +73,7 @@ def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dau_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dau.dau_table(pages(spark, sf_dir), D.user_info(spark, sf_dir),
                          D.base_province(spark, sf_dir), as_of(), ORDER)
+
+
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dau.first_seen(pages(spark, sf_dir))

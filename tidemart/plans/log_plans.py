@@ -203,12 +203,12 @@ def read_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("missing_day_is_empty", with_views("select count(*) total from first_page where dt = '1999-12-31'"))
 def missing_day_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.dau_total(I.dau_table(spark, sf_dir), "1999-12-31")
+    return reports.dau_total(I.first_seen(spark, sf_dir), "1999-12-31")
 
 
 @query("dau_total", with_views("select dt, count(*) total from first_page group by dt"))
 def dau_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.dau_totals(I.dau_table(spark, sf_dir))
+    return reports.dau_totals(I.first_seen(spark, sf_dir))
 
 
 _BY_HOUR = "select dt, hr, count(*) n from first_page group by dt, hr"
@@ -216,7 +216,7 @@ _BY_HOUR = "select dt, hr, count(*) n from first_page group by dt, hr"
 
 @query("dau_by_hour", with_views(_BY_HOUR))
 def dau_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.dau_by_hour(I.dau_table(spark, sf_dir))
+    return reports.dau_by_hour(I.first_seen(spark, sf_dir))
 
 
 @query("dau_realtime", with_views(f"""
@@ -224,7 +224,7 @@ def dau_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select dt, 'today', hr, count(*) from first_page group by dt, hr
     union all select strftime(cast(dt as date) + 1, '%Y-%m-%d'), 'yesterday', hr, n from ({_BY_HOUR})"""))
 def dau_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.dau_realtime(I.dau_table(spark, sf_dir))
+    return reports.dau_realtime(I.first_seen(spark, sf_dir))
 
 
 @query("dau_hours_filled", with_views(f"""
@@ -232,4 +232,4 @@ def dau_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select dt, unnest(range(24)) h from (select distinct dt from first_page)) d
     left join ({_BY_HOUR}) b on b.dt = d.dt and b.hr = lpad(cast(h as varchar), 2, '0')"""))
 def dau_hours_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.fill_hours(reports.dau_by_hour(I.dau_table(spark, sf_dir)))
+    return reports.fill_hours(reports.dau_by_hour(I.first_seen(spark, sf_dir)))

@@ -119,8 +119,9 @@ def order_detail(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     line = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    joined = (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    # Products first: the result then lies by order, as the join with the headers wants it.
+    joined = (line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+              .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
     discount = F.col("l_discount").cast("decimal(4,2)")
     paid = F.lit(1).cast("decimal(4,2)") - discount
     laid_out = joined.select(
