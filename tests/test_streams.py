@@ -254,6 +254,24 @@ def test_a_failing_batch_is_raised_and_run_again(spark, path):
     assert len(seen) == 2
 
 
+def test_batches_of_stateful_streams_are_planned_at_run_time(spark, path):
+    feed = Feed(f"{path}/pages")
+    pages = decode.parse_typed(topics.file_topic(spark, feed.folder, 1), S.PAGE_LOG)
+    first = dedup.dau_dedup_stream(pages)
+    feed.put(page("a", 20 * DAY), page("a", 20 * DAY + 1))
+    feed.put(page("a", 20 * DAY + 2), page("b", 20 * DAY + 2))
+    seen, plans = [], []
+
+    def batch(rows, batch_id):
+        counted = rows.groupBy("mid").count()
+        seen.extend(r.mid for r in counted.collect())
+        plans.append(counted._jdf.queryExecution().executedPlan().toString())
+
+    jobs.run_to_end(jobs.start(first, batch, f"{path}/cp", every=None), 300)
+    assert sorted(seen) == ["a", "b"]
+    assert all("AdaptiveSparkPlan" in p for p in plans)
+
+
 def test_continuous_trigger(spark, path):
     feed = Feed(f"{path}/in")
     feed.put("x")

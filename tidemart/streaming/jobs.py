@@ -28,21 +28,28 @@ ORDER_WIDE_STORED: S.Layout = S.ORDER_WIDE + [("dt", "STRING")]
 
 Tables = Callable[[SparkSession], DataFrame]
 
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+
 
 def start(stream: DataFrame, each_batch, checkpoint: str, name: str | None = None,
           every: str | None = "5 seconds") -> StreamingQuery:
     """Runs until stopped with a batch ``every`` so often; with None, to the end of what is there.
 
     A batch's rows are kept while it is handled: stateful steps before it must run once only,
-    however often the rows are used.
+    however often the rows are used. What is done with them is planned at run time, like any
+    other query, so that a hot key is split; a stateful stream has that switched off.
     """
-    def kept(rows: DataFrame, batch_id: int) -> None:
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        conf = rows.sparkSession.conf
+        before = conf.get(_ADAPTIVE)
         rows.persist()
+        conf.set(_ADAPTIVE, "true")
         try:
             each_batch(rows, batch_id)
         finally:
+            conf.set(_ADAPTIVE, before)
             rows.unpersist()
-    writer = stream.writeStream.foreachBatch(kept).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
