@@ -23,7 +23,10 @@ def total_hits(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def top_rows(df: DataFrame, order: list[Column | str], start: int, size: int) -> DataFrame:
-    """Rows ``start .. start+size-1`` in order. Order by a unique column last."""
+    """Rows ``start .. start+size-1`` in order. Order by a unique column last.
+
+    Every task keeps ``start + size`` rows: for the first pages of a result.
+    """
     return df.orderBy(*order).offset(start).limit(size)
 
 

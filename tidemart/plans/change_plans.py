@@ -16,7 +16,7 @@ from tidemart.sinks import keyed
 from tidemart.sources import driver_tables as D
 from tidemart.streaming import jobs
 
-_TOPIC = f"'DWD_' || upper(\"table\") || '_' || op || '_{I.SUFFIX}'"
+TOPIC_SQL = f"'DWD_' || upper(\"table\") || '_' || op || '_{I.SUFFIX}'"
 _KEY = "'DIM:' || upper(\"table\") || ':' || id"
 
 
@@ -30,7 +30,7 @@ def cdc_op_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.with_change_op(I.changes(spark, sf_dir)).select("seq", "table", "type", "op")
 
 
-@query("cdc_fact_route", with_views(f"select seq, {_TOPIC} topic, data as value from fact_change"))
+@query("cdc_fact_route", with_views(f"select seq, {TOPIC_SQL} topic, data as value from fact_change"))
 def cdc_fact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fact_topic_rows(spark, sf_dir)
 
@@ -40,7 +40,7 @@ def cdc_dim_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.dim_changes(spark, sf_dir)
 
 
-@query("upper_concat_key", with_views(f'select seq, {_KEY} dim_key, {_TOPIC} topic from op_change'))
+@query("upper_concat_key", with_views(f'select seq, {_KEY} dim_key, {TOPIC_SQL} topic from op_change'))
 def upper_concat_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = routing.with_change_op(I.changes(spark, sf_dir))
     row_id = F.get_json_object("data", "$.id")

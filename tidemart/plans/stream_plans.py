@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tidemart import schemas as S
 from tidemart.functions.scalars import record_to_json, ts_to_dt
 from tidemart.operators import dedup, routing
 from tidemart.plans import inputs as I
+from tidemart.plans.change_plans import TOPIC_SQL
 from tidemart.plans.order_plans import WIDE_SQL
 from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
@@ -22,6 +24,11 @@ _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 _HEADER_TOPIC, _LINE_TOPIC = f"DWD_ORDER_INFO_I_{I.SUFFIX}", f"DWD_ORDER_DETAIL_I_{I.SUFFIX}"
 
 
+def _run_to_files(stream: DataFrame, work: str) -> None:
+    jobs.run_to_end(stream.writeStream.format("parquet").option("path", f"{work}/out")
+                    .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+
+
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.log_messages(topics.parquet_stream(spark, f"{sf_dir}/events.parquet", _EVENTS))
 
@@ -33,23 +40,127 @@ def dau_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = decode.usable(decode.parse_log(_log_stream(spark, sf_dir)))
     first = dedup.dau_dedup_stream(dedup.session_first_page(routing.page_rows(log)))
     out = first.select("mid", ts_to_dt(F.col("ts")).alias("dt"))
-    jobs.run_to_end(out.writeStream.format("parquet").option("path", f"{work}/out")
-                    .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    _run_to_files(out, work)
+    return spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out")
+
+
+@query("state_expiry", with_views("select distinct mid, dt from first_page"))
+def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events come a second time when the state of all days but the last ones is gone.
+
+    Rows of days the watermark has passed are dropped as late, those of the last days still
+    meet their state: nothing is counted twice.
+    """
+    work = scratch_dir(spark, "expiry")
+    page = I.pages(spark, sf_dir)
+    for copy in range(2):
+        _send(page.select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics", copy)
+        pages = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic=pages"), S.PAGE_LOG)
+        first = dedup.dau_dedup_stream(dedup.session_first_page(pages))
+        _run_to_files(first.select("mid", ts_to_dt(F.col("ts")).alias("dt")), work)
     return spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out")
 
 
-@query("multi_topic_fanout", with_views("""
+_ROUTE_COUNTS = with_views("""
     select 'DWD_ERROR_LOG' topic, count(*) n from err having count(*) > 0
     union all select 'DWD_PAGE_LOG', count(*) from page having count(*) > 0
     union all select 'DWD_PAGE_DISPLAY_LOG', count(*) from display having count(*) > 0
     union all select 'DWD_PAGE_ACTION_LOG', count(*) from action having count(*) > 0
-    union all select 'DWD_START_LOG', count(*) from start_log having count(*) > 0"""))
+    union all select 'DWD_START_LOG', count(*) from start_log having count(*) > 0""")
+
+
+def _messages_per_topic(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
+    return stored.groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("multi_topic_fanout", _ROUTE_COUNTS)
 def multi_topic_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "fanout")
     jobs.run_to_end(jobs.log_router(_log_stream(spark, sf_dir), file_sink(f"{work}/topics"),
                                     f"{work}/checkpoint", every=None))
-    stored = spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(f"{work}/topics")
-    return stored.groupBy("topic").agg(F.count("*").alias("n"))
+    return _messages_per_topic(spark, f"{work}/topics")
+
+
+@query("micro_batch_loop", _ROUTE_COUNTS)
+def micro_batch_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job as it runs in production, a batch every so often, until it is stopped."""
+    work = scratch_dir(spark, "loop")
+    running = jobs.log_router(_log_stream(spark, sf_dir), file_sink(f"{work}/topics"),
+                              f"{work}/checkpoint", every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return _messages_per_topic(spark, f"{work}/topics")
+
+
+@query("commit_after_output", _ROUTE_COUNTS)
+def commit_after_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job dies between writing a batch and recording it; the batch is written again, not twice."""
+    work = scratch_dir(spark, "commit")
+    store, tries = file_sink(f"{work}/topics"), []
+
+    def sink(messages: DataFrame, batch_id: int) -> None:
+        store(messages, batch_id)
+        tries.append(batch_id)
+        if len(tries) == 1:
+            raise RuntimeError("died after the write")
+
+    def run() -> None:
+        jobs.run_to_end(jobs.log_router(_log_stream(spark, sf_dir), sink, f"{work}/checkpoint", every=None))
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    return _messages_per_topic(spark, f"{work}/topics")
+
+
+_PAGE_COUNTS = with_views("select page_id, count(*) n from page group by page_id")
+
+
+def _count_pages(spark: SparkSession, work: str) -> DataFrame:
+    pages = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic=pages"), S.PAGE_LOG)
+    _run_to_files(pages.select("page_id"), work)
+    return spark.read.schema("page_id STRING").parquet(f"{work}/out").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("topic_source", _PAGE_COUNTS)
+def topic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = scratch_dir(spark, "source")
+    _send(I.pages(spark, sf_dir), "pages", f"{work}/topics")
+    return _count_pages(spark, work)
+
+
+@query("resume_or_latest", _PAGE_COUNTS)
+def resume_or_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader starts, stops, and goes on where it was when the other half has come."""
+    work = scratch_dir(spark, "resume")
+    page = I.pages(spark, sf_dir)
+    _send(page.where("last_page_id IS NULL"), "pages", f"{work}/topics", 0)
+    _count_pages(spark, work)
+    _send(page.where("last_page_id IS NOT NULL"), "pages", f"{work}/topics", 1)
+    return _count_pages(spark, work)
+
+
+@query("dynamic_table_list", with_views(f"""
+    select {TOPIC_SQL} target, count(*) n from fact_change group by 1
+    union all select "table", count(distinct id) from dim_change group by 1"""))
+def dynamic_table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change router over all changes; both table lists are stored and read for each batch."""
+    work = scratch_dir(spark, "lists")
+    for name, tables in (("fact", D.FACT_TABLES), ("dim", D.DIM_TABLES)):
+        D.table_list(spark, tables).write.parquet(f"{work}/{name}")
+    D.change_log(spark, sf_dir).write.parquet(f"{work}/changes")
+    raw = topics.parquet_stream(spark, f"{work}/changes", "seq BIGINT, value STRING")
+
+    def listed(name: str) -> jobs.Tables:
+        return lambda session: session.read.schema("table STRING").parquet(f"{work}/{name}")
+    jobs.run_to_end(jobs.change_router(raw, listed("fact"), listed("dim"), file_sink(f"{work}/topics"),
+                                       f"{work}/dims", f"{work}/checkpoint", I.SUFFIX, every=None))
+    stored = keyed.read_latest(spark, f"{work}/dims", jobs.DIM_LAYOUT, ["id"], "table")
+    return (_messages_per_topic(spark, f"{work}/topics").withColumnRenamed("topic", "target")
+            .unionByName(stored.groupBy(F.col("table").alias("target")).agg(F.count("*").alias("n"))))
 
 
 def _store_dims(spark: SparkSession, sf_dir: str, path: str) -> None:
