@@ -62,7 +62,8 @@ def far_rows(hits: DataFrame, first: int, size: int) -> DataFrame:
     broadcast, and a last group holds 65,536 ids at most, whatever the rows look like.
     """
     time = F.coalesce("create_time", F.lit(""))
-    steps = {"_known": F.col("create_time").isNotNull(), "_day": create_date(time), "_time": time,
+    second = F.struct(F.col("create_time").isNotNull().alias("known"), time.alias("time"))
+    steps = {"_day": create_date(time), "_second": second,
              **{f"_id{bits}": F.shiftright("detail_id", bits) for bits in (48, 32, 16)}}
     rows = hits.withColumns(steps)
     group: list[str] = []

@@ -159,15 +159,24 @@ def stats_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKED = r"regexp_replace({}, '(?i)\b(red|ring)\b', '<em>\1</em>', 'g')"
 
 
-@query("detail_page", with_views(f"""
+_PAGE_2 = with_views(f"""
     select detail_id, create_time, cast(order_price as double) order_price, province_name,
            {_MARKED.format('sku_name')} sku_name, sku_num, cast(total_amount as double) total_amount,
            user_age, user_gender, count(*) over () total
-    from order_wide where {_ALL_WORDS} order by create_time, detail_id limit 20 offset 20"""))
+    from order_wide where {_ALL_WORDS} order by create_time, detail_id limit 20 offset 20""")
+
+
+@query("detail_page", _PAGE_2)
 def detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=2))
 
 
+@query("detail_page_far", _PAGE_2)
+def detail_page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page, found as a page far down is: by counting."""
+    return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=2, near=0))
+
+
 @query("total_hits", with_views(f"select count(*) total from order_detail where {_ALL_WORDS}"))
 def total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.total_hits(D.order_detail(spark, sf_dir), text.match_all_terms(F.col("sku_name"), KEYWORD))
