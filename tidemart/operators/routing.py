@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
-from tidemart.functions.scalars import dim_key, fact_topic, str_to_long
+from tidemart.functions.scalars import dim_key, fact_topic
+from tidemart.sources.decode import json_text
 
 # fixed values: where each part of a log goes
 LOG_TOPICS = {
@@ -119,6 +120,11 @@ def change_op(kind: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in CHANGE_OPS.items() for x in pair))[kind]
 
 
+def change_id() -> Column:
+    """The id in a change's row image."""
+    return F.try_variant_get("data", "$.id", "bigint")
+
+
 def with_change_op(changes: DataFrame) -> DataFrame:
     return changes.withColumn("op", change_op(F.col("type"))).where("op IS NOT NULL")
 
@@ -127,15 +133,15 @@ def fact_route(changes: DataFrame, fact_tables: DataFrame, suffix: str, *keep: s
     """Changes of fact tables as ``topic, value``."""
     return (with_change_op(changes).join(fact_tables, "table", "left_semi")
             .select(*keep, fact_topic(F.col("table"), F.col("op"), suffix).alias("topic"),
-                    F.col("data").alias("value")))
+                    json_text("data").alias("value")))
 
 
 def dim_route(changes: DataFrame, dim_tables: DataFrame, *keep: str) -> DataFrame:
     """Changes of dimension tables as ``table, id, key, op, data``; a table may be in both lists."""
-    row_id = str_to_long(F.get_json_object("data", "$.id"))
+    row_id = change_id()
     return (with_change_op(changes).join(dim_tables, "table", "left_semi")
             .select(*keep, "table", row_id.alias("id"),
-                    dim_key(F.col("table"), row_id).alias("key"), "op", "data"))
+                    dim_key(F.col("table"), row_id).alias("key"), "op", json_text("data").alias("data")))
 
 
 def project_by_name(df: DataFrame, target: S.Layout) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
 from tidemart.session import scratch_dir
 from tidemart.sinks import keyed
-from tidemart.sources import driver_tables as D
+from tidemart.sources import decode, driver_tables as D
 from tidemart.streaming import jobs
 
 TOPIC_SQL = f"'DWD_' || upper(\"table\") || '_' || op || '_{I.SUFFIX}'"
@@ -22,7 +22,7 @@ _KEY = "'DIM:' || upper(\"table\") || ':' || id"
 
 @query("parse_change_json", with_views("""select seq, type, "table", data from change"""))
 def parse_change_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.changes(spark, sf_dir)
+    return I.changes(spark, sf_dir).withColumn("data", decode.json_text("data"))
 
 
 @query("cdc_op_map", with_views("""select seq, "table", type, op from op_change"""))
@@ -43,8 +43,7 @@ def cdc_dim_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("upper_concat_key", with_views(f'select seq, {_KEY} dim_key, {TOPIC_SQL} topic from op_change'))
 def upper_concat_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = routing.with_change_op(I.changes(spark, sf_dir))
-    row_id = F.get_json_object("data", "$.id")
-    return changes.select("seq", scalars.dim_key(F.col("table"), row_id).alias("dim_key"),
+    return changes.select("seq", scalars.dim_key(F.col("table"), routing.change_id()).alias("dim_key"),
                           scalars.fact_topic(F.col("table"), F.col("op"), I.SUFFIX).alias("topic"))
 
 

@@ -26,7 +26,7 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
 
     ``fault`` names what keeps a record from being used (NULL for a good one).
     """
-    parsed = _inline_json(raw, S.RAW_LOG_DDL, value).withColumn("err", _json_text("err"))
+    parsed = _inline_json(raw, S.RAW_LOG_DDL, value).withColumn("err", json_text("err"))
     return parsed.withColumn("fault", _log_fault(value))
 
 
@@ -63,15 +63,14 @@ def usable(parsed_log: DataFrame) -> DataFrame:
 
 
 def parse_change(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Change records: ``type``, ``table`` and the row image ``data`` left as JSON text."""
-    parsed = _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT", value)
-    return parsed.drop(value).withColumn("data", _json_text("data"))
+    """Change records: ``type``, ``table`` and the row image ``data``, a VARIANT."""
+    return _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT", value).drop(value)
 
 
-def _json_text(column: str) -> Column:
-    """An opaque part as JSON text (keys sorted), NULL for a JSON null.
+def json_text(column: str) -> Column:
+    """A VARIANT part as JSON text (keys sorted), NULL for a JSON null.
 
-    Such parts are read as VARIANT: read as text, their numbers would pass through DOUBLE.
+    Opaque parts are read as VARIANT: read as text, their numbers would pass through DOUBLE.
     """
     return F.when(~F.is_variant_null(column), F.to_json(column))
 
