@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.llm import decontaminate, licenses, line_index, sharding, simhash
+from tidemart.llm import (
+    decontaminate, html_text, licenses, line_index, pieces, quality_trees, rule_forest, secrets, sharding, simhash)
 from tidemart.llm.tables import read
 from tidemart.session import scratch_dir
 
@@ -29,6 +30,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op2_html_extract")
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality_trees.score_quality(docs, quality_trees.fit_quality(docs, labels))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_forest.rule_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_spans(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read(spark, sf_dir, "documents")).select(
@@ -96,6 +119,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", "ids", "round_trip")
+
+
 def _words(text: str) -> str:
     split = f"string_split_regex({_LOWER.format(text)}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"list_filter({split}, lambda w: w <> '')"
