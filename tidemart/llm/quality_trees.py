@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemart.llm.text_stats import quality_features
+from tidemart.llm.text_stats import FEATURES, quality_features
 
 #: Labelled rows that trees are fitted to at most; those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -136,9 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees
     found = (docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "quality", "text")
              .mapInArrow(run, schema).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
              .orderBy("doc_id").collect())
-    x = np.array([r.x for r in found], dtype=float).reshape(len(found), -1)
-    if not len(found):
-        x = np.zeros((0, len(quality_features(""))))
+    x = np.array([r.x for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit_trees(x, np.array([float(r.quality) for r in found]))
 
 
