@@ -84,8 +84,6 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if kinds[i] == _NORMAL}
         self.silent = {i for i, k in enumerate(kinds) if k not in (_NORMAL, _BYTE)}
-        self.longest = max(map(len, self.ids), default=1)
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         # A space after something else, or a line end, begins a new chunk if no piece goes across.
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or len(p) > 1 and "\n" in p for p in self.ids):
             self.chunk = re.compile(r"(?s).+")
@@ -95,7 +93,15 @@ class PieceModel:
         self.unknown_weight = 10.0 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         if self.kind == _BPE:
             self._compile_merges()
+        self.root: dict = {}
+        for piece in self.tree if self.kind == _BPE else self.ids:
+            node = self.root
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = piece
+        # Chunks met since the last turn, and those of the turn before: frequent ones stay.
         self._seen: dict[str, tuple[int, ...]] = {}
+        self._before: dict[str, tuple[int, ...]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
 
     def _compile_merges(self) -> None:
@@ -158,40 +164,64 @@ class PieceModel:
             self._apart[left, right] = known
         return known
 
-    def _arcs(self, chunk: str, at: int) -> Iterator[tuple[str, float]]:
-        """Pieces that begin at a place, with their weights; a character without a piece stands for itself."""
-        starts, end = self.starts, at + 1
-        found = False
-        while end <= len(chunk) and (text := chunk[at:end]) in starts:
-            if text in self.ids if self.kind == _UNIGRAM else text in self.tree:
-                found = found or end == at + 1
-                yield text, -self.scores[self.ids[text]] if self.kind == _UNIGRAM else 0.0
+    def _arcs(self, chunk: str, at: int) -> list[str]:
+        """Pieces that begin at a place, the longest last; a character without a piece stands for itself."""
+        found, node, end = [], self.root, at
+        while end < len(chunk):
+            node = node.get(chunk[end])
+            if node is None:
+                break
             end += 1
-        if not found:
-            yield chunk[at], self.unknown_weight
-
-    def _path(self, chunk: str) -> list[str]:
-        """The shortest path through the chunk's lattice."""
+            piece = node.get("")
+            if piece is not None:
+                found.append(piece)
+        if not found or len(found[0]) > 1:
+            found.insert(0, chunk[at])
+        return found
+
+    def _least_path(self, chunk: str) -> list[str]:
+        """The path of least weight when every piece has one of its own."""
         best: list[tuple[float, str] | None] = [None] * (len(chunk) + 1)
         best[0] = (0.0, "")
         for at in range(len(chunk)):
-            here = best[at]
-            if here is None:
-                continue
-            for piece, weight in self._arcs(chunk, at):
+            weight = best[at][0]
+            for piece in self._arcs(chunk, at):
+                own = self.ids.get(piece)
+                total = weight + (self.unknown_weight if own is None else -self.scores[own])
                 there = best[at + len(piece)]
-                if self.kind == _BPE:
-                    # A place has one open state at most: the text up to it is merged in one way.
-                    if there is None and (not here[1] or self.stay_apart(here[1], piece)):
-                        best[at + len(piece)] = (0.0, piece)
-                elif there is None or here[0] + weight < there[0]:
-                    best[at + len(piece)] = (here[0] + weight, piece)
+                if there is None or total < there[0]:
+                    best[at + len(piece)] = (total, piece)
         path, at = [], len(chunk)
         while at:
             path.append(best[at][1])
             at -= len(path[-1])
-        path.reverse()
-        return self._join_late(path) if self.kind == _BPE and self.late else path
+        return path[::-1]
+
+    def _open_path(self, chunk: str) -> list[str]:
+        """The one path of weight 0 when arcs weigh 0 or are closed, by depth-first search.
+
+        A place has one open state at most, as the text up to it is merged in one way; so a place
+        that leads nowhere is left out from then on.
+        """
+        path: list[str] = []
+        waiting: list[list[str]] = []
+        at, size, nowhere = 0, len(chunk), set()
+        arcs = self._arcs(chunk, 0)
+        while at < size:
+            while arcs:
+                piece = arcs.pop()
+                end = at + len(piece)
+                if end not in nowhere and (not path or self.stay_apart(path[-1], piece)):
+                    path.append(piece)
+                    waiting.append(arcs)
+                    at = end
+                    arcs = self._arcs(chunk, at) if at < size else []
+                    break
+            else:
+                nowhere.add(at)
+                at -= len(path.pop())
+                arcs = waiting.pop()
+        return self._join_late(path) if self.late else path
 
     def _join_late(self, path: list[str]) -> list[str]:
         joined: list[str] = []
@@ -203,7 +233,7 @@ class PieceModel:
 
     def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
         ids: list[int] = []
-        for piece in self._path(chunk):
+        for piece in self._open_path(chunk) if self.kind == _BPE else self._least_path(chunk):
             own = self.ids.get(piece)
             if own is not None:
                 ids.append(own)
@@ -222,15 +252,17 @@ class PieceModel:
         if self.prefix:
             text = SPACE + text
         ids: list[int] = []
+        seen = self._seen
         for found in self.chunk.finditer(text):
             chunk = found[0]
-            known = self._seen.get(chunk)
+            known = seen.get(chunk)
             if known is None:
-                known = self._chunk_ids(chunk)
-                if len(self._seen) >= MEMORY:
-                    self._seen.clear()
+                known = self._before.get(chunk) or self._chunk_ids(chunk)
                 if len(chunk) <= 64:
-                    self._seen[chunk] = known
+                    if len(seen) >= MEMORY:
+                        self._before, self._seen = seen, {}
+                        seen = self._seen
+                    seen[chunk] = known
             ids.extend(known)
         return ids
 
