@@ -9,16 +9,12 @@ Deleting documents takes lines out of the filters again as they fall below the b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemart.llm.tables import ascii_lower
+from tidemart.llm.tables import ascii_lower, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one shard that a task holds at a time, on average; the number of shards follows from it.
@@ -130,7 +126,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(_BLANKS)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_hash``, ``pos`` from 0 and ``key`` (a digest) of every line that is long enough."""
     return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -172,8 +168,8 @@ class LineIndex:
     def _shard(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def _change(self, docs: DataFrame, step: int) -> None:
-        pairs = _lines(docs.where("doc_id IS NOT NULL")).select("key", "doc_id").distinct()
+    def _change(self, lines: DataFrame, step: int) -> None:
+        pairs = lines.where("doc_id IS NOT NULL").select("key", "doc_id").distinct()
         # A document that is there already is not counted twice, one that is not is not taken out.
         pairs = pairs.join(self._holders(self.batch).select("key", "doc_id"), ["key", "doc_id"],
                            "left_anti" if step > 0 else "left_semi") if self.batch or step < 0 else pairs
@@ -195,13 +191,13 @@ class LineIndex:
          .write.mode("overwrite").parquet(f"{self.path}/filters-{number}"))
         self.batch = number
 
-    def insert(self, docs: DataFrame) -> None:
-        """Counts the lines of new documents. Rows with one ``doc_id`` are one document; without, none."""
-        self._change(docs, 1)
+    def insert(self, lines: DataFrame) -> None:
+        """Counts the ``lines_of`` new documents. Rows with one ``doc_id`` are one document; without, none."""
+        self._change(lines, 1)
 
-    def delete(self, docs: DataFrame) -> None:
+    def delete(self, lines: DataFrame) -> None:
         """Takes documents out again, given as they were put in."""
-        self._change(docs, -1)
+        self._change(lines, -1)
 
     def repeated(self, keys: DataFrame) -> DataFrame:
         """``key``, ``last`` of those ``keys`` that ``min_docs`` documents or more hold."""
@@ -210,42 +206,32 @@ class LineIndex:
                  .applyInPandas(_let_through, "key BINARY"))
         return maybe.join(self.counts(), "key").where(F.col("docs") >= self.min_docs).select("key", "last")
 
-    def drop_lines(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without repeated lines, plus ``n_lines`` (before) and ``n_dropped``.
+    def drop_lines(self, docs: DataFrame, lines: DataFrame) -> DataFrame:
+        """``docs``, given with their ``lines_of``, without repeated lines; plus ``n_lines`` (before) and ``n_dropped``.
 
         A line stays in the document with the largest id that holds it. A NULL or empty text is
         one empty line and gives an empty text; a text may lose all its lines and stays as an empty
-        one. Rows without id lose repeated lines. Other columns are kept as they are.
+        one. Rows without id lose repeated lines. Columns of the two new names are replaced, all
+        others are kept as they are.
         """
-        lines = _lines(docs)
         drops = (lines.join(self.repeated(lines), "key").where("NOT (doc_id <=> last)")
                  .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_drops"))
                  .withColumnsRenamed({"doc_id": "_drop_id", "text_hash": "_drop_hash"}))
         joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("_drop_id"))
                            & (F.xxhash64(docs["text"]) == F.col("_drop_hash")), "left").select(*docs.columns, "_drops")
-        schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()),
-                               T.StructField("n_dropped", T.LongType())])
-        text_at, names = docs.columns.index("text"), schema.names
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, counts, dropped = [], [], []
-                for text, drops in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
-                    parts, gone = (text.as_py() or "").split("\n"), set(drops.as_py() or ())
-                    texts.append("\n".join(p for i, p in enumerate(parts) if i not in gone))
-                    counts.append(len(parts))
-                    dropped.append(len(gone))
-                columns = batch.columns[:-1]
-                columns[text_at] = pa.array(texts, type=batch.column(text_at).type)
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=names)
-
-        return joined.mapInArrow(run, schema)
-
-
-def indexed(docs: DataFrame, path: str) -> LineIndex:
-    """An index of ``docs``, with as many shards as their lines ask for."""
-    n = docs.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n")).first().n or 0
-    index = LineIndex(docs.sparkSession, path, max(8, -(-n // SHARD_KEYS)))
-    index.insert(docs)
-    return index
+        text, drops = F.coalesce("text", F.lit("")), F.coalesce("_drops", F.array().cast("array<int>"))
+        # What a lambda is given is worked out once: the text is not split again for each line.
+        left = F.element_at(F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drops), lambda i: parts[i]), "\n")), 1)
+        return joined.select(
+            *(F.when(F.col("_drops").isNull(), text).otherwise(left).alias("text") if c == "text" else c
+              for c in docs.columns if c not in ("n_lines", "n_dropped")),
+            F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.size(drops).cast("long").alias("n_dropped"))
+
+
+def drop_shared_lines(docs: DataFrame, path: str) -> DataFrame:
+    """``drop_lines`` with an index of the documents themselves, whose shards follow the number of lines."""
+    lines = stored(lines_of(docs), "lines")
+    index = LineIndex(docs.sparkSession, path, max(8, -(-lines.count() // SHARD_KEYS)))
+    index.insert(lines)
+    return index.drop_lines(docs, lines)

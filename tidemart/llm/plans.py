@@ -114,8 +114,7 @@ select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where
 from judged group by rid""")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    index = line_index.indexed(docs, scratch_dir(spark, "line-index"))
-    return index.drop_lines(docs).select(
+    return line_index.drop_shared_lines(docs, scratch_dir(spark, "line-index")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
@@ -140,17 +139,19 @@ windows as (
          array_to_string(w[i : i + 9], ' ') as win
   from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),
 sizes as (select distinct size from windows),
+words as (select rid, unnest(w) as word, generate_subscripts(w, 1) as i from docs),
 places as (
-  select rid, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes where len(w) >= size),
+  select rid, i, list(word) over (partition by rid order by i rows between current row and 9 following) as g
+  from words),
 hits as (
-  select rid, i, p.size, item_id from places p
-  join windows on windows.size = p.size and array_to_string(w[i : i + p.size - 1], ' ') = win),
+  select rid, i, s.size, item_id from places join sizes s on len(g) >= s.size
+  join windows on windows.size = s.size and array_to_string(g[1 : s.size], ' ') = win),
 covered as (
   select rid, count(distinct place) as n_hit
   from (select rid, unnest(range(i, i + size)) as place from (select distinct rid, i, size from hits)) group by rid),
 found as (
   select rid, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct rid, cast(item_id as varchar) as item from hits) group by rid)
+  from (select distinct rid, cast(item_id as varchar) as item from hits where item_id is not null) group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join covered using (rid) left join found using (rid)""")
