@@ -64,7 +64,7 @@ def test_numbers_may_be_quoted_or_bare(spark):
 ])
 def test_quarantine(spark, made, reason):
     log = parsed(spark, made, record(page=PAGE))
-    bad = decode.quarantine(log).collect()
+    bad = decode.quarantine(log, "seq").collect()
     assert [(r.seq, r.reason) for r in bad] == [(0, reason)]
     assert counts(log) == (0, 1, 0, 0, 0)
 
@@ -126,5 +126,7 @@ def test_kafka_options():
     resumed = topics.kafka_source_options("h:1", "t", "g", {1: 5, 0: 3}, 100)
     assert json.loads(resumed["startingOffsets"]) == {"t": {"0": 3, "1": 5}}
     assert resumed["maxOffsetsPerTrigger"] == "100"
+    some = topics.kafka_source_options("h:1", "t", "g", {1: 5}, partitions=3)
+    assert json.loads(some["startingOffsets"]) == {"t": {"0": -1, "1": 5, "2": -1}}
     sink = topics.kafka_sink_options("h:1")
     assert sink["kafka.acks"] == "all" and sink["kafka.enable.idempotence"] == "true"

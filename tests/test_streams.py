@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
+from tidemart.functions.scalars import event_time
 from tidemart.operators import dedup, orders
 from tidemart.sinks import keyed
 from tidemart.sinks.topics import file_sink
@@ -70,7 +71,7 @@ def test_partners_meet_in_either_order_across_restarts(spark, path):
     assert pairs(run(joined, path)) == [(1, 10), (1, 11), (2, 20), (2, 21)]
 
 
-def test_far_late_line_is_dropped(spark, path):
+def test_a_partner_late_by_its_own_time_is_matched(spark, path):
     hf, lf, headers, lines = order_streams(spark, path)
     joined = orders.join_order_streams(headers, lines)
     hf.put(header(1, "2001-01-01 10:00:00"))
@@ -80,15 +81,28 @@ def test_far_late_line_is_dropped(spark, path):
         hf.put(header(int(day), f"2001-01-{day} 10:00:00"))
         lf.put(line(int(day), 99, f"2001-01-{day} 10:00:00"))
         run(joined, path)
-    lf.put(line(10, 1, "2001-01-01 11:00:00"))
-    hf.put(header(50, "2001-01-08 00:00:00"))
-    assert pairs(run(joined, path)) == []
+    lf.put(line(10, 1, "2001-01-01 11:00:00"), line(11, 1, None), line(12, 1, "no time"))
+    hf.put(header(9, None), header(50, "2001-01-08 00:00:00"))
+    assert pairs(run(joined, path)) == [(1, 10), (1, 11), (1, 12), (9, 90)]
+
+
+def test_rows_behind_given_arrival_times_are_reported(spark, path):
+    hf, lf, headers, lines = order_streams(spark, path)
+    when = event_time(F.col("create_time"))
+    joined = orders.join_order_streams(headers, lines, header_at=when, line_at=when)
+    for day in ("05", "09", "01", "02"):
+        hf.put(header(int(day), f"2001-01-{day} 10:00:00"))
+        lf.put(line(int(day), int(day), f"2001-01-{day} 10:00:00"))
+    with pytest.raises(RuntimeError, match="behind the watermark"):
+        run(joined, path)
 
 
 def test_orphans_come_out_after_their_time(spark, path):
     hf, lf, headers, lines = order_streams(spark, path)
-    alone = orders.unmatched_headers_stream(headers, lines)
-    with_orphans = orders.join_order_streams(headers, lines, how="left_outer")
+    when = event_time(F.col("create_time"))
+    how = {"header_at": when, "line_at": when, "late": "1 second"}
+    alone = orders.unmatched_headers_stream(headers, lines, **how)
+    with_orphans = orders.join_order_streams(headers, lines, how="left_outer", **how)
     hf.put(header(1, "2001-01-01 10:00:00"), header(2, "2001-01-01 10:00:00"))
     lf.put(*(line(i, 1, "2001-01-01 10:00:00") for i in range(10, 30)), line(30, 3, "2001-01-01 10:00:00"))
     for day in ("05", "09", "13", "17"):
@@ -224,6 +238,20 @@ def test_a_batch_run_again_changes_nothing(spark, path):
     assert keyed.layers(spark, f"{path}/dims", jobs.DIM_LAYOUT).count() == 2
 
 
+def test_change_router_sets_bad_records_aside(spark, path):
+    feed = Feed(f"{path}/changes")
+    feed.put(change("insert", "t", {"id": 1, "seq": 1}), '{"type":"insert","table":"t","data":{"id"',
+             {"type": "insert", "table": "t"}, change("insert", "t", {"no": 1}), change("insert", None, {"id": 1}))
+
+    def listed(s):
+        return s.createDataFrame([("t",)], "table string")
+    jobs.run_to_end(jobs.change_router(raw_changes(spark, feed.folder), listed, listed, file_sink(f"{path}/topics"),
+                                       f"{path}/dims", f"{path}/cp", "s", f"{path}/bad", every=None), 300)
+    assert [r.value for r in spark.read.schema("value string").text(f"{path}/topics").collect()] == ['{"id":1,"seq":1}']
+    assert [r.id for r in keyed.read_latest(spark, f"{path}/dims", jobs.DIM_LAYOUT, ["id"], "table").collect()] == [1]
+    assert sorted(r.reason for r in spark.read.parquet(f"{path}/bad").collect()) == ["bad_json", "data", "id", "table"]
+
+
 def test_log_router_sets_bad_records_aside(spark, path):
     feed = Feed(f"{path}/logs")
     feed.put({"common": {"mid": "a"}, "page": {"page_id": "p", "during_time": "1"}, "ts": 1}, '{"cut')

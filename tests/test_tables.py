@@ -157,7 +157,7 @@ def test_dau_questions_of_one_day(spark):
     assert len(filled) == 24 and ("05", 2) in filled and ("23", 0) in filled
 
 
-def test_far_pages_equal_near_pages(spark):
+def test_pages_near_and_far(spark):
     random.seed(3)
     items = [(random.choice([i, -i << 20, i << 40, i << 55]),
               f"2001-01-0{random.randint(1, 4)} 0{random.randint(0, 3)}:00:0{random.randint(0, 2)}",
@@ -171,12 +171,26 @@ def test_far_pages_equal_near_pages(spark):
     size = 25
     for page in (1, 3, len(ordered) // size + 1, len(ordered) // size + 2):
         expected = [r[2] for r in ordered[(page - 1) * size:page * size]]
-        for near in (10_000, 0):
-            got = search.detail_page(wide, "red", page=page, page_size=size, near=near).collect()
-            assert sorted(r.detail_id for r in got) == sorted(expected)
-            assert all(r.total == len(ordered) and r.sku_name == "<em>red</em> ring" for r in got)
+        got = search.detail_page(wide, "red", page=page, page_size=size).collect()
+        assert sorted(r.detail_id for r in got) == sorted(expected)
+        assert all(r.total == len(ordered) and r.sku_name == "<em>red</em> ring" for r in got)
     assert search.detail_page(wide, "red", page=1, page_size=7).count() == 7
     assert search.detail_page(wide, "", page=1).count() == 0
+    unknown = wide.withColumn("detail_id", F.when(F.col("detail_id") % 3 > 0, F.col("detail_id")))
+    seen = [r for page in range(1, len(ordered) // size + 2)
+            for r in search.detail_page(unknown, "red", page=page, page_size=size).collect()]
+    assert len(seen) == len(ordered) and any(r.detail_id is None for r in seen)
+
+
+def test_a_large_partition_is_written_by_many_tasks(spark, path):
+    rows = spark.range(200_000).selectExpr("id k", "uuid() v", "'d1' dt", "id n")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        keyed.upsert(rows, 0, path, ["k"], ["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert len(spark.read.parquet(path).inputFiles()) > 4
 
 
 def test_visits_against_brute_force(spark):
@@ -255,13 +269,13 @@ def test_keyed_table(spark, path):
         return rows(keyed.read_latest(spark, where, LAYOUT, ["k"]), "dt", "k", "v")
 
     assert current() == []
-    keyed.upsert(batch((1, "a", "d1", 1), (1, "b", "d1", 2), (2, "c", "d1", 1), (1, "z", "d2", 1)), 0, path, ["k"], ["n"], files=2)
+    keyed.upsert(batch((1, "a", "d1", 1), (1, "b", "d1", 2), (2, "c", "d1", 1), (1, "z", "d2", 1)), 0, path, ["k"], ["n"])
     first = [("d1", 1, "b"), ("d1", 2, "c"), ("d2", 1, "z")]
     assert current() == first
     for _ in range(2):
         keyed.upsert(batch((2, "C", "d1", 1), (3, "n", "d3", 1)), 1, path, ["k"], ["n"])
         assert current() == [("d1", 1, "b"), ("d1", 2, "C"), ("d2", 1, "z"), ("d3", 3, "n")]
-    keyed.compact(spark, path, f"{path}-compact", LAYOUT, ["k"], files=1)
+    keyed.compact(spark, path, f"{path}-compact", LAYOUT, ["k"])
     assert current(f"{path}-compact") == current()
     assert keyed.layers(spark, f"{path}-compact", LAYOUT).count() == 4
     keyed.upsert(batch((1, "q", "d1", 1)), 2, f"{path}-compact", ["k"], ["n"])

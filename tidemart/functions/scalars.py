@@ -32,8 +32,10 @@ def ts_to_hr(ts_ms: Column, zone: str = "UTC") -> Column:
     return F.lpad(hour.cast("string"), 2, "0")
 
 
-def day_start(ts_ms: Column) -> Column:
-    """The instant at which the (UTC) day of ``ts_ms`` begins, as TIMESTAMP."""
+def day_start(ts_ms: Column, zone: str = "UTC") -> Column:
+    """The instant at which the day of ``ts_ms`` begins, as TIMESTAMP; by the zone's clock, read as UTC."""
+    if zone != "UTC":
+        return F.timestamp_seconds(F.unix_date(_wall_clock(ts_ms, zone).cast("date")).cast("bigint") * 86_400)
     return F.timestamp_millis(ts_ms - F.pmod(ts_ms, F.lit(DAY_MS)))
 
 
@@ -86,7 +88,3 @@ def record_to_json(*columns: str | Column) -> Column:
     """The named columns as one JSON object; NULL columns are left out."""
     return F.to_json(F.struct(*columns))
 
-
-def salt_of(column: Column, salts: int) -> Column:
-    """An even, repeatable spread of rows over ``0 .. salts-1``."""
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

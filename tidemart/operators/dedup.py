@@ -6,10 +6,10 @@ before the shuffle, so a key holding a third of all rows sends one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.functions.scalars import day_start, salt_of, ts_to_dt
+from tidemart.functions.scalars import day_start, ts_to_dt
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,19 +34,25 @@ def dau_dedup(pages: DataFrame, order: list[str] | None = None, zone: str = "UTC
     return first_per_key(with_day, ["mid", "dt"], order or ["ts"])
 
 
-def dau_dedup_stream(pages: DataFrame, delay: str = "2 days", salts: int = 8) -> DataFrame:
+def arrival(at: Column | None = None) -> Column:
+    """When a row arrived: the start of its micro-batch, or ``at`` where the source knows better."""
+    return F.current_timestamp() if at is None else F.coalesce(at, F.current_timestamp())
+
+
+def dau_dedup_stream(pages: DataFrame, keep: str = "2 days", salts: int = 8, zone: str = "UTC",
+                     at: Column | None = None) -> DataFrame:
     """The same on a stream: the first row of a device to arrive on a day.
 
-    The day is part of the key and carries the watermark, which lets its state go once
-    the day is ``delay`` past; a delay of two days keeps yesterday open all day long.
+    A device and day stay known for ``keep`` after their first row arrived, whatever the rows'
+    own times are; so a row is never too late, and state does not depend on the order of rows.
     Two steps: rows of one device are spread over ``salts`` tasks that drop repeats, and
     what is left of it, ``salts`` rows a day at most, meets in one.
     """
-    keyed = (pages.withColumn("day_ts", day_start(F.col("ts")))
+    keyed = (pages.withColumn("day_ts", day_start(F.col("ts"), zone))
              .withColumn("_salt", F.pmod(F.col("ts"), F.lit(salts)).cast("int"))
-             .withWatermark("day_ts", delay))
-    first = keyed.dropDuplicates(["mid", "day_ts", "_salt"])
-    return first.dropDuplicates(["mid", "day_ts"]).drop("_salt")
+             .withColumn("_at", arrival(at)).withWatermark("_at", keep))
+    first = keyed.dropDuplicatesWithinWatermark(["mid", "day_ts", "_salt"])
+    return first.dropDuplicatesWithinWatermark(["mid", "day_ts"]).drop("_salt", "_at")
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,7 +60,3 @@ def not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame
     known = stored.select(*keys).distinct()
     return rows.join(known, keys, "left_anti")
 
-
-def write_salt(keys: list[str], files_per_day: int):
-    """Spreads a day's rows over ``files_per_day`` tasks when it is written."""
-    return salt_of(F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys)), files_per_day)

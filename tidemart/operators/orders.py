@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
-from tidemart.functions.scalars import create_date, create_hour, event_time
+from tidemart.functions.scalars import create_date, create_hour
+from tidemart.operators.dedup import arrival
 from tidemart.operators.dims import lookup_province, lookup_user
 
 
@@ -72,45 +73,37 @@ def full_outer(headers: DataFrame, lines: DataFrame) -> DataFrame:
             .withColumn("order_id", F.coalesce("h_id", "d_order_id")))
 
 
-def join_order_streams(headers: DataFrame, lines: DataFrame, within: str = "24 hours",
-                       salts: int = 8, how: str = "inner") -> DataFrame:
+def join_order_streams(headers: DataFrame, lines: DataFrame, within: str = "24 hours", salts: int = 1,
+                       how: str = "inner", header_at: Column | None = None,
+                       line_at: Column | None = None, late: str = "0 seconds") -> DataFrame:
     """Lines with their header as ``d_*`` and ``h_*``, for streams in either order.
 
-    Either side waits for the other up to ``within`` of event time (the watermark; there is
-    no wall clock in it). Streams are not re-planned at run time, so the lines of an order
-    are always spread over ``salts`` tasks and its one header is copied to each. ``how`` is
-    inner, or left_outer to let lines without a header out once their time is past.
+    The id alone joins them. Either side waits for the other for ``within`` of its arrival,
+    whatever its own time is and even without one, so a replay in any order loses nothing.
+    ``header_at`` and ``line_at`` say when a row arrived if the source knows; a row's micro-batch
+    does otherwise. Only with these can rows come out of turn, by up to ``late``. Streams are not re-planned at run time: where single orders have very many
+    lines, these are spread over ``salts`` tasks and the one header is copied to each. ``how`` is
+    inner, or left_outer to let lines out for which no header came in time.
     """
-    left = (_prefixed(lines, "d_")
-            .withColumn("d_time", event_time(F.col("d_create_time")))
+    left = (_prefixed(lines.withColumn("at", arrival(line_at)), "d_")
             .withColumn("d_salt", F.pmod(F.xxhash64("d_id"), F.lit(salts)).cast("int"))
-            .withWatermark("d_time", within))
-    right = (_prefixed(headers, "h_")
-             .withColumn("h_time", event_time(F.col("h_create_time")))
+            .withWatermark("d_at", late))
+    right = (_prefixed(headers.withColumn("at", arrival(header_at)), "h_")
              .withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .withWatermark("h_time", within))
+             .withWatermark("h_at", late))
     on = F.expr(f"""d_order_id = h_id AND d_salt = h_salt
-                    AND d_time >= h_time - INTERVAL {within}
-                    AND d_time <= h_time + INTERVAL {within}""")
-    return left.join(right, on, how).drop("d_salt", "h_salt", "d_time", "h_time")
+                    AND d_at >= h_at - INTERVAL {within} AND d_at <= h_at + INTERVAL {within}""")
+    return left.join(right, on, how).drop("d_salt", "h_salt", "d_at", "h_at")
 
 
 def unmatched_headers_stream(headers: DataFrame, lines: DataFrame, within: str = "24 hours",
-                             salts: int = 8) -> DataFrame:
-    """Headers to which no line came in time, once their time is past.
-
-    One line is enough to tell, so repeats are dropped first, in two steps as in
-    ``dau_dedup_stream``.
-    """
-    left = (_prefixed(headers, "h_").withColumn("h_time", event_time(F.col("h_create_time")))
-            .withWatermark("h_time", within))
-    one = (lines.select(F.col("order_id").alias("d_order_id"),
-                        event_time(F.col("create_time")).alias("d_time"),
-                        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("d_salt"))
-           .withWatermark("d_time", within)
-           .dropDuplicatesWithinWatermark(["d_order_id", "d_salt"])
-           .dropDuplicatesWithinWatermark(["d_order_id"]))
-    on = F.expr(f"""h_id = d_order_id AND d_time >= h_time - INTERVAL {within}
-                    AND d_time <= h_time + INTERVAL {within}""")
-    alone = left.join(one, on, "left_outer").where("d_order_id IS NULL")
+                             header_at: Column | None = None, line_at: Column | None = None,
+                             late: str = "0 seconds") -> DataFrame:
+    """Headers to which no line came in time, once that time is past. For the parameters see ``join_order_streams``."""
+    left = _prefixed(headers.withColumn("at", arrival(header_at)), "h_").withWatermark("h_at", late)
+    right = (lines.select(F.col("order_id").alias("d_order_id"), arrival(line_at).alias("d_at"))
+             .withWatermark("d_at", late))
+    on = F.expr(f"""h_id = d_order_id AND d_at >= h_at - INTERVAL {within}
+                    AND d_at <= h_at + INTERVAL {within}""")
+    alone = left.join(right, on, "left_outer").where("d_order_id IS NULL")
     return alone.select(*(F.col(f"h_{c}").alias(c) for c in headers.columns))

@@ -130,8 +130,8 @@ def with_change_op(changes: DataFrame) -> DataFrame:
 
 
 def fact_route(changes: DataFrame, fact_tables: DataFrame, suffix: str, *keep: str) -> DataFrame:
-    """Changes of fact tables as ``topic, value``."""
-    return (with_change_op(changes).join(fact_tables, "table", "left_semi")
+    """Changes of fact tables as ``topic, value``. The list has a row per table of the source: it is broadcast."""
+    return (with_change_op(changes).join(F.broadcast(fact_tables), "table", "left_semi")
             .select(*keep, fact_topic(F.col("table"), F.col("op"), suffix).alias("topic"),
                     json_text("data").alias("value")))
 
@@ -139,7 +139,7 @@ def fact_route(changes: DataFrame, fact_tables: DataFrame, suffix: str, *keep: s
 def dim_route(changes: DataFrame, dim_tables: DataFrame, *keep: str) -> DataFrame:
     """Changes of dimension tables as ``table, id, key, op, data``; a table may be in both lists."""
     row_id = change_id()
-    return (with_change_op(changes).join(dim_tables, "table", "left_semi")
+    return (with_change_op(changes).join(F.broadcast(dim_tables), "table", "left_semi")
             .select(*keep, "table", row_id.alias("id"),
                     dim_key(F.col("table"), row_id).alias("key"), "op", json_text("data").alias("data")))
 

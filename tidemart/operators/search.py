@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemart.functions.scalars import create_date
 from tidemart.functions.text import highlight, match_all_terms, match_any_term
 from tidemart.operators.documents import bool_query, in_range
+from tidemart.session import scratch_dir
 
 # fixed values: the fields a detail page shows
 DETAIL_FIELDS = ["create_time", "order_price", "province_name", "sku_name", "sku_num",
@@ -31,54 +31,46 @@ def top_rows(df: DataFrame, order: list[Column | str], start: int, size: int) ->
 
 
 def detail_page(order_wide: DataFrame, keyword: str, day: str | None = None,
-                page: int = 1, page_size: int = 20, near: int = 10_000) -> DataFrame:
+                page: int = 1, page_size: int = 20) -> DataFrame:
     """One page of the lines whose product name has all words of ``keyword``, with ``total``.
 
-    Lines are in order of time and id; matched words are marked. A page within the first
-    ``near`` lines is a top-k, where every task keeps that many; a later one is found by
-    counting (``far_rows``), so that the lines before it need not be gathered anywhere.
+    Lines are in order of time and id, NULLs first; matched words are marked.
     """
     hits = order_wide.where(match_all_terms(F.col("sku_name"), keyword))
     if day is not None:
         hits = hits.where(F.col("create_date") == day)
-    first = (page - 1) * page_size
-    if first + page_size <= near:
-        shown = top_rows(hits, ["create_time", "detail_id"], first, page_size)
-    else:
-        shown = far_rows(hits, first, page_size)
-    total = hits.agg(F.count("*")).scalar()
+    shown = page_rows(hits.select("detail_id", *DETAIL_FIELDS), ["create_time", "detail_id"],
+                      (page - 1) * page_size, page_size)
     return shown.select(
         "detail_id", *(highlight(F.col(c), keyword).alias(c) if c == "sku_name" else c
                        for c in DETAIL_FIELDS),
-        total.alias("total"))
+        "total")
 
 
-def far_rows(hits: DataFrame, first: int, size: int) -> DataFrame:
-    """Rows ``first .. first+size-1`` by ``create_time, detail_id``, found by counting.
+def page_rows(hits: DataFrame, order: list[str], first: int, size: int) -> DataFrame:
+    """Rows ``first .. first+size-1`` in order, and how many rows there are (``total``); any page alike.
 
-    Groups of rows are counted, coarse to fine: days, seconds, then ids by their upper 16,
-    32 and 48 bits. After each count only the groups that reach into the page are looked
-    into further. A page of ``size`` rows touches that many groups at most, which is what is
-    broadcast, and a last group holds 65,536 ids at most, whatever the rows look like.
+    Rows are ranged by their order once and written with the number of their range; ranges are
+    counted, and only those that reach into the page are numbered. Rows equal in order go by
+    their other columns' hash, so no range is larger than its share.
     """
-    time = F.coalesce("create_time", F.lit(""))
-    second = F.struct(F.col("create_time").isNotNull().alias("known"), time.alias("time"))
-    steps = {"_day": create_date(time), "_second": second,
-             **{f"_id{bits}": F.shiftright("detail_id", bits) for bits in (48, 32, 16)}}
-    rows = hits.withColumns(steps)
-    group: list[str] = []
-    found = rows.withColumn("_before", F.lit(0).cast("bigint"))
-    for step in steps:
-        counts = found.groupBy("_before", *group, step).agg(F.count("*").alias("_n"))
-        smaller = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        before = (F.col("_before") + F.coalesce(F.sum("_n").over(smaller), F.lit(0))).alias("_before")
-        group = [*group, step]
-        touched = counts.select(*group, before, "_n").where(
-            (F.col("_before") < first + size) & (F.col("_before") + F.col("_n") > first)).drop("_n")
-        found = rows.join(F.broadcast(touched), group)
-    number = F.row_number().over(Window.partitionBy(*group).orderBy("detail_id"))
-    placed = found.withColumn("_pos", F.col("_before") + number - 1)
-    return placed.where((F.col("_pos") >= first) & (F.col("_pos") < first + size)).select(*hits.columns)
+    keys = [*order, "_tie"]
+    ranged = (hits.withColumn("_tie", F.xxhash64(*hits.columns)).repartitionByRange(*keys)
+              .withColumn("_range", F.spark_partition_id()))
+    path = scratch_dir(hits.sparkSession, "page")
+    ranged.write.parquet(path)
+    stored = hits.sparkSession.read.schema(ranged.schema).parquet(path)
+    # One row for each range, of which there are as many as tasks.
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(everything).alias("total"))
+    touched = starts.where((F.col("_before") < first + size) & (F.col("_before") + F.col("_n") > first))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    placed = (stored.join(F.broadcast(touched.drop("_n")), "_range")
+              .withColumn("_pos", F.col("_before") + number - 1))
+    return placed.where((F.col("_pos") >= first) & (F.col("_pos") < first + size)).select(*hits.columns, "total")
 
 
 def search_by_condition(movies: DataFrame, words: str, min_score: float | None = None,

@@ -25,6 +25,28 @@ def parse_change_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.changes(spark, sf_dir).withColumn("data", decode.json_text("data"))
 
 
+_CUT = """case when seq % 20 = 3 then 'bad_json' when seq % 20 = 7 then 'id' when seq % 20 = 11 then 'data' end"""
+
+
+@query("quarantine_change", with_views(f"""
+    select seq, reason from (select seq, {_CUT} reason from change) where reason is not null"""))
+def quarantine_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change records that are cut off or lack their image or its id are set aside."""
+    checked = decode.check_change(D.cut_short(D.change_log(spark, sf_dir)))
+    return decode.quarantine(checked, "seq").select("seq", "reason")
+
+
+@query("quarantine_typed", with_views("""
+    select id seq, reason from (select id, case id % 20 when 3 then 'bad_json' when 7 then 'id' when 11 then 'id' end reason
+                                from order_info) where reason is not null"""))
+def quarantine_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the order topic that are cut off or have no id are set aside."""
+    rows = D.order_info(spark, sf_dir)
+    messages = rows.select(F.col("id").alias("seq"), scalars.record_to_json(*rows.columns).alias("value"))
+    checked = decode.check_typed(D.cut_short(messages), S.ORDER_HEADER, S.REQUIRED["header"])
+    return decode.quarantine(checked, "seq").select("seq", "reason")
+
+
 @query("cdc_op_map", with_views("""select seq, "table", type, op from op_change"""))
 def cdc_op_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.with_change_op(I.changes(spark, sf_dir)).select("seq", "table", "type", "op")
@@ -104,5 +126,5 @@ def keyed_daily_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, order = ["l_orderkey", "l_linenumber"], ["l_shipdate", "id"]
     wanted = S.names(_UPSERT_LAYOUT) + ["l_shipdate"]
     for batch_id, rows in ((0, lines.where(~later)), (1, lines.where(later)), (1, lines.where(later))):
-        keyed.upsert(rows.select(*wanted), batch_id, path, keys, order, "month", files=1)
+        keyed.upsert(rows.select(*wanted), batch_id, path, keys, order, "month")
     return I.result(keyed.read_latest(spark, path, _UPSERT_LAYOUT, keys, "month").select(*S.names(_UPSERT_LAYOUT)))

@@ -46,10 +46,11 @@ def dim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.dim_route(changes(spark, sf_dir), D.table_list(spark, D.DIM_TABLES), "seq")
 
 
-def stored_topics(spark: SparkSession, sf_dir: str) -> str:
-    """Writes all fact topics once, as the change router does, and returns their folder."""
+def stored_topics(spark: SparkSession, sf_dir: str, *tables: str) -> str:
+    """Writes the topics of new rows of these fact tables, as the change router does, and returns their folder."""
     path = scratch_dir(spark, "facts")
-    file_sink(path)(fact_topic_rows(spark, sf_dir), 0)
+    routed = routing.fact_route(changes(spark, sf_dir), D.table_list(spark, list(tables)), SUFFIX)
+    file_sink(path)(routed.where(F.col("topic").endswith(f"_I_{SUFFIX}")), 0)
     return path
 
 
@@ -77,3 +78,24 @@ def dau_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dau.first_seen(pages(spark, sf_dir))
+
+
+# What tells messages of the five log topics apart, and the same from the SQL views.
+ROUTED_SQL = """
+    select 'DWD_ERROR_LOG' topic, null mid, null page_id, regexp_extract(err, ':([0-9]+)', 1) part, 'boom' detail,
+           null ts from err
+    union all select 'DWD_PAGE_LOG', mid, page_id, page_item, cast(during_time as varchar), ts from page
+    union all select 'DWD_PAGE_DISPLAY_LOG', mid, page_id, display_item, cast(display_order as varchar), ts from display
+    union all select 'DWD_PAGE_ACTION_LOG', mid, page_id, action_item, cast(action_ts as varchar), ts from action
+    union all select 'DWD_START_LOG', mid, null, entry, cast(open_ad_id as varchar), ts from start_log"""
+
+
+def routed_rows(messages: DataFrame) -> DataFrame:
+    """``topic, value`` of the log topics as rows."""
+    def first(*names: str) -> Column:
+        return F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
+    return messages.select(
+        "topic", first("mid").alias("mid"), first("page_id").alias("page_id"),
+        first("display_item", "action_item", "entry", "error_code", "page_item").alias("part"),
+        first("display_order", "action_ts", "open_ad_id", "msg", "during_time").alias("detail"),
+        first("ts").cast("bigint").alias("ts"))

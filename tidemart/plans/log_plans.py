@@ -48,7 +48,7 @@ def parse_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
        or (seq % 50 = 1 and kind not in ('signup', 'error'))
        or (seq % 50 = 2 and (kind = 'signup' or (kind <> 'error' and k % 4 > 0)))"""))
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.quarantine(decode.parse_log(D.damaged_log(spark, sf_dir))).select("seq", "reason")
+    return decode.quarantine(decode.parse_log(D.damaged_log(spark, sf_dir)), "seq").select("seq", "reason")
 
 
 @query("log_error_route", with_views("select seq, err from err"))
@@ -81,26 +81,17 @@ def log_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.action_rows(I.logs(spark, sf_dir), "seq")
 
 
-_ROUTE_COUNTS = with_views("""
-    select 'DWD_ERROR_LOG' topic, count(*) n from err having count(*) > 0
-    union all select 'DWD_PAGE_LOG', count(*) from page having count(*) > 0
-    union all select 'DWD_PAGE_DISPLAY_LOG', count(*) from display having count(*) > 0
-    union all select 'DWD_PAGE_ACTION_LOG', count(*) from action having count(*) > 0
-    union all select 'DWD_START_LOG', count(*) from start_log having count(*) > 0""")
-
-
-@query("log_route_counts", _ROUTE_COUNTS)
+@query("log_route_counts", with_views(f"select topic, count(*) n from ({I.ROUTED_SQL}) group by topic"))
 def log_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route_log(I.logs(spark, sf_dir)).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("topic_sink", _ROUTE_COUNTS)
+@query("topic_sink", with_views(I.ROUTED_SQL))
 def topic_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all topics in one go and counts the messages of each."""
+    """Writes all topics in one go and reads every message back."""
     path = scratch_dir(spark, "topics")
     file_sink(path)(routing.route_log(I.logs(spark, sf_dir)), 0)
-    stored = spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
-    return stored.groupBy("topic").agg(F.count("*").alias("n"))
+    return I.routed_rows(spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path))
 
 
 _PAGE_JSON = " || ',' || ".join(
@@ -196,7 +187,7 @@ def read_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores the daily-active table by day and reads one field back."""
     path = scratch_dir(spark, "dau")
     first = dedup.dau_dedup(dedup.session_first_page(I.pages(spark, sf_dir)), I.ORDER)
-    (first.repartition("dt", dedup.write_salt(["mid"], 4)).write.partitionBy("dt").parquet(path))
+    first.hint("rebalance", "dt").write.partitionBy("dt").parquet(path)
     stored = spark.read.schema(first.schema).parquet(path)
     return stored.select("dt", "mid")
 

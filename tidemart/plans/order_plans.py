@@ -47,14 +47,14 @@ def _inserted(view: str) -> str:
 @query("parse_typed_header", with_views(
     f"select {_fields(S.ORDER_HEADER, _HEADER)} from {_inserted('order_info')}"))
 def parse_typed_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = I.stored_topics(spark, sf_dir)
+    topics = I.stored_topics(spark, sf_dir, "order_info")
     return I.result(I.inserted(spark, topics, "order_info", S.ORDER_HEADER))
 
 
 @query("parse_typed_line", with_views(
     f"select {_fields(S.ORDER_LINE, _LINE)} from {_inserted('order_detail')}"))
 def parse_typed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = I.stored_topics(spark, sf_dir)
+    topics = I.stored_topics(spark, sf_dir, "order_detail")
     return I.result(I.inserted(spark, topics, "order_detail", S.ORDER_LINE))
 
 
@@ -64,20 +64,23 @@ def parse_typed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     from {_inserted('order_info')} h full join {_inserted('order_detail')} d on h.id = d.order_id"""))
 def order_detail_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New headers and new lines; many of either have no partner."""
-    topics = I.stored_topics(spark, sf_dir)
+    topics = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
     joined = orders.full_outer(I.inserted(spark, topics, "order_info", S.ORDER_HEADER),
                                I.inserted(spark, topics, "order_detail", S.ORDER_LINE))
     return joined.select("order_id", F.col("h_id").alias("header_id"), F.col("d_id").alias("detail_id"),
                          F.col("h_create_time").alias("header_time"), F.col("d_create_time").alias("line_time"))
 
 
-@query("unmatched_orders", with_views(f"""
+UNMATCHED_SQL = with_views(f"""
     select 'header' side, id, id order_id from {_inserted('order_info')}
     where id not in (select order_id from {_inserted('order_detail')})
     union all select 'line', id, order_id from {_inserted('order_detail')}
-    where order_id not in (select id from {_inserted('order_info')})"""))
+    where order_id not in (select id from {_inserted('order_info')})""")
+
+
+@query("unmatched_orders", UNMATCHED_SQL)
 def unmatched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = I.stored_topics(spark, sf_dir)
+    topics = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
     headers = I.inserted(spark, topics, "order_info", S.ORDER_HEADER)
     lines = I.inserted(spark, topics, "order_detail", S.ORDER_LINE)
     return (orders.unmatched_headers(headers, lines)
@@ -171,10 +174,10 @@ def detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=2))
 
 
-@query("detail_page_far", _PAGE_2)
+@query("detail_page_far", _PAGE_2.replace("limit 20 offset 20", "limit 2 offset 24"))
 def detail_page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same page, found as a page far down is: by counting."""
-    return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=2, near=0))
+    """A page far down; it costs what the second one does."""
+    return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=13, page_size=2))
 
 
 @query("total_hits", with_views(f"select count(*) total from order_detail where {_ALL_WORDS}"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
 from tidemart.functions.scalars import record_to_json, ts_to_dt
-from tidemart.operators import dedup, routing
+from tidemart.operators import dedup, orders
 from tidemart.plans import inputs as I
 from tidemart.plans.change_plans import TOPIC_SQL
-from tidemart.plans.order_plans import WIDE_SQL
+from tidemart.plans.order_plans import UNMATCHED_SQL, WIDE_SQL
 from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
 from tidemart.session import scratch_dir
@@ -24,65 +23,80 @@ _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 _HEADER_TOPIC, _LINE_TOPIC = f"DWD_ORDER_INFO_I_{I.SUFFIX}", f"DWD_ORDER_DETAIL_I_{I.SUFFIX}"
 
 
-def _run_to_files(stream: DataFrame, work: str) -> None:
-    jobs.run_to_end(stream.writeStream.format("parquet").option("path", f"{work}/out")
-                    .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+#: A replay is read in at least so many micro-batches.
+BATCHES = 5
+
+
+def _run_to_files(stream: DataFrame, work: str) -> int:
+    return jobs.run_to_end(stream.writeStream.format("parquet").option("path", f"{work}/out")
+                           .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
 
 
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.log_messages(topics.parquet_stream(spark, f"{sf_dir}/events.parquet", _EVENTS))
 
 
+def _send(rows: DataFrame, topic: str, path: str, number: int = 0) -> None:
+    """Rows as JSON messages of a topic, dealt to ``BATCHES`` folders with no regard to their time."""
+    (rows.select(F.lit(topic).alias("topic"), record_to_json(*rows.columns).alias("value"))
+     .withColumn("batch_id", F.pmod(F.xxhash64("value"), F.lit(BATCHES)) + number * BATCHES)
+     .write.mode("append").partitionBy("topic", "batch_id").text(path))
+
+
+def _topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
+    """A stored topic as a stream whose first start takes at least ``BATCHES`` micro-batches."""
+    folder = f"{path}/topic={topic}"
+    files = len(spark.read.schema("value STRING").text(folder).inputFiles())
+    return topics.file_topic(spark, folder, max(1, files // BATCHES))
+
+
+def _pages(spark: SparkSession, work: str) -> DataFrame:
+    return decode.parse_typed(_topic(spark, f"{work}/topics", "pages"), S.PAGE_LOG, S.REQUIRED["page"])
+
+
 @query("dau_dedup_stream", with_views("select distinct mid, dt from first_page"))
 def dau_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices per day; which of a device's first rows arrives first is not fixed."""
     work = scratch_dir(spark, "dau-stream")
-    log = decode.usable(decode.parse_log(_log_stream(spark, sf_dir)))
-    first = dedup.dau_dedup_stream(dedup.session_first_page(routing.page_rows(log)))
-    out = first.select("mid", ts_to_dt(F.col("ts")).alias("dt"))
-    _run_to_files(out, work)
+    _send(I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics")
+    first = dedup.dau_dedup_stream(dedup.session_first_page(_pages(spark, work)))
+    assert _run_to_files(first.select("mid", ts_to_dt(F.col("ts")).alias("dt")), work) >= BATCHES
     return spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out")
 
 
-@query("state_expiry", with_views("select distinct mid, dt from first_page"))
+@query("state_expiry", with_views("select mid, dt, cast(2 as bigint) n from (select distinct mid, dt from first_page)"))
 def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events come a second time when the state of all days but the last ones is gone.
+    """All pages come, and once more nine days on, after one row on that day: by then no device is known.
 
-    Rows of days the watermark has passed are dropped as late, those of the last days still
-    meet their state: nothing is counted twice.
+    Within either arrival a device counts once a day.
     """
     work = scratch_dir(spark, "expiry")
-    page = I.pages(spark, sf_dir)
-    for copy in range(2):
-        _send(page.select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics", copy)
-        pages = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic=pages"), S.PAGE_LOG)
-        first = dedup.dau_dedup_stream(dedup.session_first_page(pages))
-        _run_to_files(first.select("mid", ts_to_dt(F.col("ts")).alias("dt")), work)
-    return spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out")
+    page = I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG))
+    batches = 0
+    later = page.limit(1).withColumn("mid", F.lit("later")).withColumn("last_page_id", F.lit(None).cast("string"))
+    for number, (rows, day) in enumerate(((page, "01"), (later, "10"), (page, "10"))):
+        _send(rows, "pages", f"{work}/topics", number)
+        at = F.lit(f"2001-01-{day} 00:00:0{number}").cast("timestamp")
+        first = dedup.dau_dedup_stream(dedup.session_first_page(_pages(spark, work)), at=at)
+        batches += _run_to_files(first.select("mid", ts_to_dt(F.col("ts")).alias("dt")), work)
+    assert batches >= BATCHES
+    out = spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out").where("mid <> 'later'")
+    return out.groupBy("mid", "dt").agg(F.count("*").alias("n"))
 
 
-_ROUTE_COUNTS = with_views("""
-    select 'DWD_ERROR_LOG' topic, count(*) n from err having count(*) > 0
-    union all select 'DWD_PAGE_LOG', count(*) from page having count(*) > 0
-    union all select 'DWD_PAGE_DISPLAY_LOG', count(*) from display having count(*) > 0
-    union all select 'DWD_PAGE_ACTION_LOG', count(*) from action having count(*) > 0
-    union all select 'DWD_START_LOG', count(*) from start_log having count(*) > 0""")
+def _messages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
 
 
-def _messages_per_topic(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
-    return stored.groupBy("topic").agg(F.count("*").alias("n"))
-
-
-@query("multi_topic_fanout", _ROUTE_COUNTS)
+@query("multi_topic_fanout", with_views(I.ROUTED_SQL))
 def multi_topic_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "fanout")
     jobs.run_to_end(jobs.log_router(_log_stream(spark, sf_dir), file_sink(f"{work}/topics"),
                                     f"{work}/checkpoint", every=None))
-    return _messages_per_topic(spark, f"{work}/topics")
+    return I.routed_rows(_messages(spark, f"{work}/topics"))
 
 
-@query("micro_batch_loop", _ROUTE_COUNTS)
+@query("micro_batch_loop", with_views(I.ROUTED_SQL))
 def micro_batch_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same job as it runs in production, a batch every so often, until it is stopped."""
     work = scratch_dir(spark, "loop")
@@ -92,60 +106,51 @@ def micro_batch_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         running.processAllAvailable()
     finally:
         running.stop()
-    return _messages_per_topic(spark, f"{work}/topics")
+    return I.routed_rows(_messages(spark, f"{work}/topics"))
 
 
-@query("commit_after_output", _ROUTE_COUNTS)
+@query("commit_after_output", with_views(I.ROUTED_SQL))
 def commit_after_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job dies between writing a batch and recording it; the batch is written again, not twice."""
+    """The job is started a second time on its checkpoint: what was written counts as done, nothing comes twice."""
     work = scratch_dir(spark, "commit")
-    store, tries = file_sink(f"{work}/topics"), []
-
-    def sink(messages: DataFrame, batch_id: int) -> None:
-        store(messages, batch_id)
-        tries.append(batch_id)
-        if len(tries) == 1:
-            raise RuntimeError("died after the write")
-
-    def run() -> None:
-        jobs.run_to_end(jobs.log_router(_log_stream(spark, sf_dir), sink, f"{work}/checkpoint", every=None))
-    try:
-        run()
-    except StreamingQueryException:
-        run()
-    return _messages_per_topic(spark, f"{work}/topics")
+    for _ in range(2):
+        jobs.run_to_end(jobs.log_router(_log_stream(spark, sf_dir), file_sink(f"{work}/topics"),
+                                        f"{work}/checkpoint", every=None))
+    return I.routed_rows(_messages(spark, f"{work}/topics"))
 
 
-_PAGE_COUNTS = with_views("select page_id, count(*) n from page group by page_id")
+_PAGE_ROWS = with_views("select mid, user_id, page_id, last_page_id, page_item, during_time, ts from page")
 
 
-def _count_pages(spark: SparkSession, work: str) -> DataFrame:
-    pages = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic=pages"), S.PAGE_LOG)
-    _run_to_files(pages.select("page_id"), work)
-    return spark.read.schema("page_id STRING").parquet(f"{work}/out").groupBy("page_id").agg(F.count("*").alias("n"))
+def _read_pages(spark: SparkSession, work: str) -> DataFrame:
+    rows = _pages(spark, work).select("mid", "user_id", "page_id", "last_page_id", "page_item", "during_time", "ts")
+    assert _run_to_files(rows, work) >= BATCHES
+    return spark.read.schema(rows.schema).parquet(f"{work}/out")
 
 
-@query("topic_source", _PAGE_COUNTS)
+@query("topic_source", _PAGE_ROWS)
 def topic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "source")
-    _send(I.pages(spark, sf_dir), "pages", f"{work}/topics")
-    return _count_pages(spark, work)
+    _send(I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics")
+    return _read_pages(spark, work)
 
 
-@query("resume_or_latest", _PAGE_COUNTS)
+@query("resume_or_latest", _PAGE_ROWS)
 def resume_or_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reader starts, stops, and goes on where it was when the other half has come."""
     work = scratch_dir(spark, "resume")
-    page = I.pages(spark, sf_dir)
-    _send(page.where("last_page_id IS NULL"), "pages", f"{work}/topics", 0)
-    _count_pages(spark, work)
-    _send(page.where("last_page_id IS NOT NULL"), "pages", f"{work}/topics", 1)
-    return _count_pages(spark, work)
+    page = I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG))
+    for number, half in enumerate(("last_page_id IS NULL", "last_page_id IS NOT NULL")):
+        _send(page.where(half), "pages", f"{work}/topics", number)
+        rows = _pages(spark, work).select("mid", "user_id", "page_id", "last_page_id", "page_item", "during_time", "ts")
+        _run_to_files(rows, work)
+    return spark.read.schema(rows.schema).parquet(f"{work}/out")
 
 
 @query("dynamic_table_list", with_views(f"""
-    select {TOPIC_SQL} target, count(*) n from fact_change group by 1
-    union all select "table", count(distinct id) from dim_change group by 1"""))
+    select {TOPIC_SQL} target, id, data from fact_change
+    union all select "table", id, data from (
+        select *, row_number() over (partition by "table", id order by seq desc) rn from dim_change) where rn = 1"""))
 def dynamic_table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change router over all changes; both table lists are stored and read for each batch."""
     work = scratch_dir(spark, "lists")
@@ -159,8 +164,10 @@ def dynamic_table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.run_to_end(jobs.change_router(raw, listed("fact"), listed("dim"), file_sink(f"{work}/topics"),
                                        f"{work}/dims", f"{work}/checkpoint", I.SUFFIX, every=None))
     stored = keyed.read_latest(spark, f"{work}/dims", jobs.DIM_LAYOUT, ["id"], "table")
-    return (_messages_per_topic(spark, f"{work}/topics").withColumnRenamed("topic", "target")
-            .unionByName(stored.groupBy(F.col("table").alias("target")).agg(F.count("*").alias("n"))))
+    facts = _messages(spark, f"{work}/topics").select(
+        F.col("topic").alias("target"), F.get_json_object("value", "$.id").cast("bigint").alias("id"),
+        F.col("value").alias("data"))
+    return facts.unionByName(stored.select(F.col("table").alias("target"), "id", "data"))
 
 
 def _store_dims(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -171,16 +178,15 @@ def _store_dims(spark: SparkSession, sf_dir: str, path: str) -> None:
             F.lit("I").alias("op"), record_to_json(*rows.columns).alias("data"), F.col("id").alias("seq")), 0, path)
 
 
-def _send(rows: DataFrame, topic: str, path: str, batch_id: int = 0) -> None:
-    file_sink(path)(rows.select(F.lit(topic).alias("topic"), record_to_json(*rows.columns).alias("value")), batch_id)
+def _order_topics(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]:
+    return (decode.parse_typed(_topic(spark, f"{work}/topics", _HEADER_TOPIC), S.ORDER_HEADER, S.REQUIRED["header"]),
+            decode.parse_typed(_topic(spark, f"{work}/topics", _LINE_TOPIC), S.ORDER_LINE, S.REQUIRED["line"]))
 
 
-def _run_orders(spark: SparkSession, work: str) -> None:
-    headers = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic={_HEADER_TOPIC}"), S.ORDER_HEADER)
-    lines = decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic={_LINE_TOPIC}"), S.ORDER_LINE)
-    jobs.run_to_end(jobs.order_job(
-        headers, lines, f"{work}/dims", f"{work}/wide", f"{work}/checkpoint", I.as_of(),
-        partition=F.substring("create_date", 1, 4), files=4, every=None))
+def _run_orders(spark: SparkSession, work: str) -> int:
+    return jobs.run_to_end(jobs.order_job(*_order_topics(spark, work), f"{work}/dims", f"{work}/wide",
+                                          f"{work}/checkpoint", I.as_of(),
+                                          partition=F.substring("create_date", 1, 7), every=None))
 
 
 def _stored_orders(spark: SparkSession, work: str) -> DataFrame:
@@ -195,7 +201,7 @@ def order_wide_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store_dims(spark, sf_dir, f"{work}/dims")
     _send(D.order_info(spark, sf_dir), _HEADER_TOPIC, f"{work}/topics")
     _send(D.order_detail(spark, sf_dir), _LINE_TOPIC, f"{work}/topics")
-    _run_orders(spark, work)
+    assert _run_orders(spark, work) >= BATCHES
     return _stored_orders(spark, work)
 
 
@@ -206,7 +212,49 @@ def late_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store_dims(spark, sf_dir, f"{work}/dims")
     _send(D.order_detail(spark, sf_dir), _LINE_TOPIC, f"{work}/topics")
     spark.createDataFrame([], "value STRING").write.text(f"{work}/topics/topic={_HEADER_TOPIC}/batch_id=0")
-    _run_orders(spark, work)
+    batches = _run_orders(spark, work)
     _send(D.order_info(spark, sf_dir), _HEADER_TOPIC, f"{work}/topics", 1)
-    _run_orders(spark, work)
+    assert batches + _run_orders(spark, work) >= BATCHES
     return _stored_orders(spark, work)
+
+
+@query("dual_commit", with_views("select order_id, detail_id, cast(1 as bigint) n from order_wide"))
+def dual_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both topics' progress is kept together: after a stop in between, no line is stored twice or left out."""
+    work = scratch_dir(spark, "dual")
+    _store_dims(spark, sf_dir, f"{work}/dims")
+    headers, lines, batches = D.order_info(spark, sf_dir), D.order_detail(spark, sf_dir), 0
+    for number in range(2):
+        _send(headers.where(F.col("id") % 2 == number), _HEADER_TOPIC, f"{work}/topics", number)
+        _send(lines.where(F.col("id") % 3 == number if number == 0 else F.col("id") % 3 > 0), _LINE_TOPIC,
+              f"{work}/topics", number)
+        batches += _run_orders(spark, work)
+    assert batches >= BATCHES
+    stored = keyed.layers(spark, f"{work}/wide", jobs.ORDER_WIDE_STORED)
+    return stored.groupBy("order_id", "detail_id").agg(F.count("*").alias("n"))
+
+
+@query("unmatched_orders_stream", UNMATCHED_SQL)
+def unmatched_orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and lines that are still alone when nine days later one more of each comes."""
+    work = scratch_dir(spark, "orphans")
+    stored = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
+    now = {"header": I.inserted(spark, stored, "order_info", S.ORDER_HEADER),
+           "line": I.inserted(spark, stored, "order_detail", S.ORDER_LINE)}
+    later = {"header": now["header"].limit(1).withColumn("id", F.lit(-1).cast("bigint")),
+             "line": now["line"].limit(1).withColumns({"id": F.lit(-2).cast("bigint"), "order_id": F.lit(-2).cast("bigint")})}
+    for number, (sent, day) in enumerate(((now, "01"), (later, "10"))):
+        _send(sent["header"], _HEADER_TOPIC, f"{work}/topics", number)
+        _send(sent["line"], _LINE_TOPIC, f"{work}/topics", number)
+        at = F.lit(f"2001-01-{day} 00:00:00").cast("timestamp")
+        headers, lines = _order_topics(spark, work)
+        alone = orders.unmatched_headers_stream(headers, lines, header_at=at, line_at=at, late="1 second")
+        _run_to_files(alone.select("id", F.col("id").alias("order_id")), f"{work}/headers")
+        joined = orders.join_order_streams(headers, lines, how="left_outer", header_at=at, line_at=at, late="1 second")
+        alone = joined.where("h_id IS NULL").select(F.col("d_id").alias("id"), F.col("d_order_id").alias("order_id"))
+        _run_to_files(alone, f"{work}/lines")
+
+    def found(side: str) -> DataFrame:
+        rows = spark.read.schema("id BIGINT, order_id BIGINT").parquet(f"{work}/{side}s/out")
+        return rows.select(F.lit(side).alias("side"), "id", "order_id")
+    return found("header").union(found("line"))

@@ -85,6 +85,9 @@ ORDER_LINE: Layout = [
     ("split_total_amount", MONEY), ("split_activity_amount", MONEY),
     ("split_coupon_amount", MONEY)]
 
+# What a record of a topic must have to be used.
+REQUIRED = {"page": ("mid", "ts"), "header": ("id",), "line": ("id", "order_id")}
+
 # One row per order line: the line's columns, then the header's; a shared name is the line's.
 ORDER_WIDE: Layout = (
     [("detail_id", "BIGINT"), ("order_id", "BIGINT")]

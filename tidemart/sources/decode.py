@@ -50,21 +50,31 @@ def _log_fault(value: str) -> Column:
                  CASE WHEN start IS NOT NULL THEN nullif(concat_ws(',', {on_start}), '') END), '') END""")
 
 
-def quarantine(parsed_log: DataFrame, value: str = "value") -> DataFrame:
-    """Unusable records, each with its message and the reason."""
-    kept = [c for c in parsed_log.columns
-            if c not in ("common", "page", "displays", "actions", "start", "err", "ts",
-                         "_corrupt_record", "fault", value)]
-    return parsed_log.where("fault IS NOT NULL").select(*kept, value, F.col("fault").alias("reason"))
+def quarantine(parsed: DataFrame, *keep: str, value: str = "value") -> DataFrame:
+    """Unusable records of any kind, each with its message and the reason; ``keep`` names further columns."""
+    return parsed.where("fault IS NOT NULL").select(*keep, value, F.col("fault").alias("reason"))
 
 
-def usable(parsed_log: DataFrame) -> DataFrame:
-    return parsed_log.where("fault IS NULL")
+def usable(parsed: DataFrame) -> DataFrame:
+    return parsed.where("fault IS NULL")
+
+
+def check_change(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Change records: ``type``, ``table``, the row image ``data`` (a VARIANT), the message, and ``fault``.
+
+    A record without type, table, image, or an id in its image cannot be used.
+    """
+    parsed = _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT, _corrupt_record STRING", value)
+    return parsed.withColumn("fault", F.expr(f"""
+        CASE WHEN `{value}` IS NULL OR _corrupt_record IS NOT NULL THEN 'bad_json'
+             WHEN type IS NULL THEN 'type' WHEN table IS NULL THEN 'table'
+             WHEN data IS NULL OR is_variant_null(data) THEN 'data'
+             WHEN try_variant_get(data, '$.id', 'bigint') IS NULL THEN 'id' END""")).drop("_corrupt_record")
 
 
 def parse_change(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Change records: ``type``, ``table`` and the row image ``data``, a VARIANT."""
-    return _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT", value).drop(value)
+    """The usable change records, without their messages."""
+    return usable(check_change(raw, value)).drop(value, "fault")
 
 
 def json_text(column: str) -> Column:
@@ -75,16 +85,26 @@ def json_text(column: str) -> Column:
     return F.when(~F.is_variant_null(column), F.to_json(column))
 
 
-def parse_typed(raw: DataFrame, layout: S.Layout, value: str = "value") -> DataFrame:
-    """Fixed records. Numbers may be quoted; text that is no number becomes NULL.
+def check_typed(raw: DataFrame, layout: S.Layout, required: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """Fixed records, the message, and ``fault``. Numbers may be quoted; text that is no number becomes NULL.
 
     A decimal is read as such, which takes both forms and keeps all digits. Other numbers
-    are read as text, since the reader takes no quoted ones.
+    are read as text, since the reader takes no quoted ones. A message that is no JSON, or
+    whose ``required`` fields are missing or unreadable, cannot be used.
     """
     kept = [c for c in raw.columns if c != value]
     parsed = _inline_json(raw.withColumnsRenamed({c: f"__{c}" for c in raw.columns}),
-                          S.text_ddl(layout), f"__{value}")
+                          S.text_ddl(layout) + ", _corrupt_record STRING", f"__{value}")
+    kinds = dict(layout)
+    missing = "".join(f"WHEN try_cast(`{name}` AS {kinds[name]}) IS NULL THEN '{name}' " for name in required)
+    fault = F.expr(f"CASE WHEN `__{value}` IS NULL OR _corrupt_record IS NOT NULL THEN 'bad_json' {missing}END")
     return parsed.select(
         *(F.col(f"__{c}").alias(c) for c in kept),
         *(F.col(name) if kind == "STRING" else F.col(name).try_cast(kind).alias(name)
-          for name, kind in layout))
+          for name, kind in layout),
+        F.col(f"__{value}").alias(value), fault.alias("fault"))
+
+
+def parse_typed(raw: DataFrame, layout: S.Layout, required: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """The usable fixed records, without their messages."""
+    return usable(check_typed(raw, layout, required, value)).drop(value, "fault")

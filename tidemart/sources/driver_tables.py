@@ -75,6 +75,15 @@ def damaged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_log(spark, sf_dir).withColumn("value", F.coalesce(broken, value))
 
 
+def cut_short(messages: DataFrame) -> DataFrame:
+    """Messages of which some are cut off or emptied, by their number ``seq``."""
+    value = F.col("value")
+    broken = (F.when(F.col("seq") % 20 == 3, F.expr("left(value, length(value) - 5)"))
+              .when(F.col("seq") % 20 == 7, F.regexp_replace(value, '"id":', '"no":'))
+              .when(F.col("seq") % 20 == 11, F.lit('{"type":"insert","table":"order_info"}')))
+    return messages.withColumn("value", F.coalesce(broken, value))
+
+
 def _money(column: str, scale: int = 2) -> Column:
     return F.col(column).cast(f"decimal(12,{scale})")
 

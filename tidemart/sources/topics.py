@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 def kafka_source_options(servers: str, topic: str, group: str,
                          offsets: dict[int, int] | None = None,
-                         max_offsets_per_trigger: int | None = None) -> dict[str, str]:
+                         max_offsets_per_trigger: int | None = None,
+                         partitions: int = 0) -> dict[str, str]:
     """Options to subscribe to one topic, from given offsets or else from the newest.
 
-    They matter for a query's first run only: later runs go on from its checkpoint.
-    Partitions without a given offset start at the newest one (-1).
+    They matter for a query's first run only: later runs go on from its checkpoint. The
+    source wants every partition of the topic named; of the topic's ``partitions`` those
+    without a given offset start at the newest one (-1).
     """
     start = "latest"
     if offsets:
-        start = json.dumps({topic: {str(p): o for p, o in sorted(offsets.items())}})
+        every = dict.fromkeys(range(partitions), -1) | offsets
+        start = json.dumps({topic: {str(p): o for p, o in sorted(every.items())}})
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,

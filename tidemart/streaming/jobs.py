@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemart import schemas as S
+from tidemart.functions.scalars import create_date, ts_to_dt
 from tidemart.operators import dau, dedup, dims, orders, routing
 from tidemart.sinks import keyed
 from tidemart.sinks.topics import TopicSink
@@ -32,23 +33,26 @@ _ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
 def start(stream: DataFrame, each_batch, checkpoint: str, name: str | None = None,
-          every: str | None = "5 seconds") -> StreamingQuery:
+          every: str | None = "5 seconds", keep: bool = True) -> StreamingQuery:
     """Runs until stopped with a batch ``every`` so often; with None, to the end of what is there.
 
-    A batch's rows are kept while it is handled: stateful steps before it must run once only,
-    however often the rows are used. What is done with them is planned at run time, like any
-    other query, so that a hot key is split; a stateful stream has that switched off.
+    With ``keep`` a batch's rows are kept while it is handled: stateful steps and parsing before
+    it must run once only, however often the rows are used. What is done with them is planned at
+    run time, like any other query, so that a hot key is split; a stateful stream has that
+    switched off.
     """
     def handle(rows: DataFrame, batch_id: int) -> None:
         conf = rows.sparkSession.conf
         before = conf.get(_ADAPTIVE)
-        rows.persist()
+        if keep:
+            rows.persist()
         conf.set(_ADAPTIVE, "true")
         try:
             each_batch(rows, batch_id)
         finally:
             conf.set(_ADAPTIVE, before)
-            rows.unpersist()
+            if keep:
+                rows.unpersist()
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
@@ -56,11 +60,25 @@ def start(stream: DataFrame, each_batch, checkpoint: str, name: str | None = Non
     return writer.start()
 
 
-def run_to_end(query: StreamingQuery, timeout: int = 3600) -> None:
-    """Waits for a query that reads what is there; its failure is raised here."""
-    if not query.awaitTermination(timeout):
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, over the batches the query remembers."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for state in progress["stateOperators"])
+
+
+def run_to_end(query: StreamingQuery, timeout: int | None = None) -> int:
+    """Waits for a query that reads what is there and returns how many batches it made.
+
+    Its failure is raised here, and so is the loss of rows that came too late.
+    """
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream not finished after {timeout} s")
+    if lost := late_rows(query):
+        raise RuntimeError(f"{lost} rows came behind the watermark and were left out")
+    return len(query.recentProgress)
 
 
 def log_router(raw: DataFrame, sink: TopicSink, checkpoint: str, suffix: str = "",
@@ -69,14 +87,18 @@ def log_router(raw: DataFrame, sink: TopicSink, checkpoint: str, suffix: str = "
 
     ``first`` is for a new checkpoint, as in ``file_sink``.
     """
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        parsed = decode.parse_log(rows)
+    def batch(parsed: DataFrame, batch_id: int) -> None:
         sink(routing.route_log(decode.usable(parsed), suffix), batch_id)
         if bad_records:
-            (decode.quarantine(parsed).withColumn("batch_id", F.lit(first + batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(bad_records))
-    return start(raw, batch, checkpoint, **how)
+            set_aside(parsed, first + batch_id, bad_records)
+    return start(decode.parse_log(raw), batch, checkpoint, keep=bool(bad_records), **how)
+
+
+def set_aside(checked: DataFrame, number: int, path: str) -> None:
+    """The unusable records of a batch; one that is run again replaces them."""
+    (decode.quarantine(checked).withColumn("batch_id", F.lit(number))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
 
 
 def write_dims(changes: DataFrame, batch_id: int, path: str) -> None:
@@ -97,16 +119,23 @@ def read_dims(spark: SparkSession, path: str, name: str, ids: DataFrame | None =
 
 
 def change_router(raw: DataFrame, fact_tables: Tables, dim_tables: Tables, sink: TopicSink,
-                  dim_path: str, checkpoint: str, suffix: str, **how) -> StreamingQuery:
-    """Change records -> fact topics and the dimension table. ``raw`` has ``value`` and ``seq``."""
+                  dim_path: str, checkpoint: str, suffix: str, bad_records: str | None = None,
+                  **how) -> StreamingQuery:
+    """Change records -> fact topics and the dimension table. ``raw`` has ``value`` and ``seq``.
+
+    Records that cannot be used go to ``bad_records`` if that is given; they never go on. A
+    record is parsed once: what a batch keeps are parsed rows.
+    """
     base = keyed.next_layer(raw.sparkSession, dim_path, DIM_LAYOUT)
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        changes = decode.parse_change(rows)
+    def batch(checked: DataFrame, batch_id: int) -> None:
+        spark = checked.sparkSession
+        changes = decode.usable(checked).drop("value", "fault")
+        if bad_records:
+            set_aside(checked, base + batch_id, bad_records)
         sink(routing.fact_route(changes, fact_tables(spark), suffix), batch_id)
         write_dims(routing.dim_route(changes, dim_tables(spark), "seq"), base + batch_id, dim_path)
-    return start(raw, batch, checkpoint, **how)
+    return start(decode.check_change(raw), batch, checkpoint, **how)
 
 
 def _ids(rows: DataFrame, column: str) -> DataFrame:
@@ -114,43 +143,52 @@ def _ids(rows: DataFrame, column: str) -> DataFrame:
 
 
 def dau_job(pages: DataFrame, dim_path: str, dau_path: str, checkpoint: str, as_of: Column,
-            delay: str = "2 days", salts: int = 8, recover: bool = False, **how) -> StreamingQuery:
-    """Page rows -> daily-active table, a device once a day.
+            delay: str = "2 days", salts: int = 8, recover: bool = False, zone: str = "UTC",
+            **how) -> StreamingQuery:
+    """Page rows -> daily-active table, a device once a day; days are those of ``zone``.
 
     A restart goes on with the dedup state of the checkpoint. ``recover`` is for a start
     without one: devices that are stored already for the days of a batch are left out.
     """
     base = keyed.next_layer(pages.sparkSession, dau_path, S.DAU_WIDE)
-    first = dedup.dau_dedup_stream(dedup.session_first_page(pages), delay, salts)
+    first = dedup.dau_dedup_stream(dedup.session_first_page(pages), delay, salts, zone)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         devices = rows.drop("day_ts")
-        users = dims.user_dim(read_dims(spark, dim_path, "user_info", _ids(devices, "user_id")))
-        provinces = dims.province_dim(read_dims(spark, dim_path, "base_province"))
-        wide = dau.dau_wide(devices, users, provinces, as_of)
         if recover:
             # The days of a batch are few; naming them keeps other partitions from being read.
-            days = [r.dt for r in wide.select("dt").distinct().collect()]
+            devices = devices.withColumn("dt", ts_to_dt(F.col("ts"), zone))
+            days = [r.dt for r in devices.select("dt").distinct().collect()]
             stored = keyed.layers(spark, dau_path, S.DAU_WIDE).where(F.col("dt").isin(days))
-            wide = dedup.not_stored(wide, stored, ["mid", "dt"])
+            devices = dedup.not_stored(devices, stored, ["mid", "dt"]).drop("dt")
+        users = dims.user_dim(read_dims(spark, dim_path, "user_info", _ids(devices, "user_id")))
+        provinces = dims.province_dim(read_dims(spark, dim_path, "base_province"))
+        wide = dau.dau_wide(devices, users, provinces, as_of, zone)
         keyed.upsert(wide, base + batch_id, dau_path, ["mid"], ["ts"])
     return start(first, batch, checkpoint, **how)
 
 
 def order_job(headers: DataFrame, lines: DataFrame, dim_path: str, wide_path: str, checkpoint: str,
-              as_of: Column, within: str = "24 hours", salts: int = 8, partition: Column | None = None,
-              files: int = 8, **how) -> StreamingQuery:
+              as_of: Column, within: str = "24 hours", salts: int = 1, orphans: str | None = None,
+              partition: Column | None = None, **how) -> StreamingQuery:
     """Order headers and lines -> order-wide table, one row per line.
 
     The table is partitioned by day of the order (column ``dt``) unless ``partition`` says
-    otherwise; a replay of many years wants something coarser than days.
+    otherwise: a replay of many years, where each batch has rows of each day, wants months.
+    With ``orphans``, a table, lines for which no header came in time go there; headers without
+    a line are ``header_orphan_job``'s.
     """
     base = keyed.next_layer(headers.sparkSession, wide_path, ORDER_WIDE_STORED)
-    joined = orders.join_order_streams(headers, lines, within, salts)
+    joined = orders.join_order_streams(headers, lines, within, salts, "left_outer" if orphans else "inner")
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        if orphans:
+            alone = rows.where("h_id IS NULL").select(*(F.col(f"d_{c}").alias(c) for c in S.names(S.ORDER_LINE)))
+            keyed.upsert(alone.withColumn("dt", create_date(F.col("create_time"))), base + batch_id, orphans,
+                         ["id"], ["create_time"])
+            rows = rows.where("h_id IS NOT NULL")
         users = dims.user_dim(read_dims(spark, dim_path, "user_info", _ids(rows, "h_user_id")))
         provinces = dims.province_dim(read_dims(spark, dim_path, "base_province"))
         line_columns = [c for c in rows.columns if c.startswith("d_")]
@@ -160,5 +198,18 @@ def order_job(headers: DataFrame, lines: DataFrame, dim_path: str, wide_path: st
             {c: f"h_{c}" for c in enriched.columns if c not in line_columns})
         wide = orders.merge_order_wide(back).withColumn(
             "dt", F.col("create_date") if partition is None else partition)
-        keyed.upsert(wide, base + batch_id, wide_path, ["order_id", "detail_id"], ["create_time"], files=files)
+        keyed.upsert(wide, base + batch_id, wide_path, ["order_id", "detail_id"], ["create_time"])
     return start(joined, batch, checkpoint, **how)
+
+
+def header_orphan_job(headers: DataFrame, lines: DataFrame, path: str, checkpoint: str,
+                      within: str = "24 hours", header_at: Column | None = None, line_at: Column | None = None,
+                      late: str = "0 seconds", **how) -> StreamingQuery:
+    """Headers to which no line came in time -> a table of headers by day."""
+    base = keyed.next_layer(headers.sparkSession, path, S.ORDER_HEADER + [("dt", "STRING")])
+    alone = orders.unmatched_headers_stream(headers, lines, within, header_at, line_at, late)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        keyed.upsert(rows.withColumn("dt", create_date(F.col("create_time"))), base + batch_id, path,
+                     ["id"], ["create_time"])
+    return start(alone, batch, checkpoint, keep=False, **how)
