@@ -168,6 +168,14 @@ def test_main_text_without_article():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<nav>only a menu</nav>") == ""
 
 
+def test_odd_markup():
+    assert html_text.extract('<article><p class="lead>Open quote text</p><p>Next</p></article>') == "Open quote text\n\nNext"
+    assert html_text.extract("<article><div class='article header'><h1>Head</h1></div><svg><p>Text</article>") == "Head\n\nText"
+    assert html_text.extract("<b>" * 20_000 + "</i>" * 20_000 + "<article>text</article>") == "text"
+    assert html_text.extract("<article>text <!-- never closed <p>more") == "text"
+    assert html_text.extract("<article>cut off in a <a href") == "cut off in a"
+
+
 def test_pages(spark, sf):
     import html
     rows = {r.page_id: r for r in html_text.extract_pages(read(spark, sf, "pages")).collect()}

@@ -5,6 +5,9 @@ enough to look for one of them, its prefix: the one that the fewest documents ha
 positions with such a shingle carry the words around them to the join; there the place of the
 shingle in the window says where the window would begin and end, and only what fits into the
 document is compared word by word.
+
+Shingles of the items, never of documents, pass through the driver: they are looked for as constants,
+in blocks of a fixed size, with one pass over the documents for each block.
 """
 
 from __future__ import annotations

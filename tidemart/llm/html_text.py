@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,10 +34,13 @@ _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|"
     r"masthead|comments?|commentlist|disqus\w*|respond|replies|reply|cookies?\w*|consent\w*|notices?|gdpr|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widgets?|pagination|"
-    r"pager|toolbar|skip|copyright|legal|disclaimer|alert|tags?|meta|byline)(?:$|[\s_-])", re.IGNORECASE)
+    r"pager|toolbar|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.IGNORECASE)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.VERBOSE)
+#: A tag whose quotes do not close.
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_RAW_ONLY = frozenset("script style title textarea iframe noscript xmp".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _SPACES = re.compile(r"\s+")
 
@@ -56,6 +60,8 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ("article", "main", "body", "html"):
         return False
     names = own.get("class", "") + " " + own.get("id", "")
+    if in_article:  # a header there may hold the heading
+        names = re.sub(r"\bheader\b", " ", names, flags=re.IGNORECASE)
     return bool(_ASIDE_NAME.search(names)) and not _MAIN_NAME.search(names)
 
 
@@ -64,6 +70,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # element, set aside, article
+    names: Counter[str] = Counter()  # of open elements
     aside = article = 0
     at, end = 0, len(page)
 
@@ -76,7 +83,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     def close(n: int) -> None:
         nonlocal aside, article
         while len(open_) > n:
-            _, was_aside, was_article = open_.pop()
+            name, was_aside, was_article = open_.pop()
+            names[name] -= 1
             aside -= was_aside
             article -= was_article
 
@@ -87,7 +95,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         parts.append(page[at:mark])
         if mark == end:
             break
-        token = _TOKEN.match(page, mark)
+        token = _TOKEN.match(page, mark) or _LOOSE.match(page, mark)
         if token is None:  # a sign that opens nothing is text; a tag that is cut off is not
             cut = re.compile(r"</?[A-Za-z!]").match(page, mark) and page.find(">", mark) < 0
             if not cut:
@@ -102,7 +110,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if tag in _RAW and not token[1]:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else end
+            if stop or tag in _RAW_ONLY:
+                at = stop.end() if stop else end
             continue
         if tag == "br":
             parts.append(" ")
@@ -113,9 +122,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if token[1]:
             # Closes the nearest element of the name, and what was left open inside it.
-            n = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if n is not None:
-                close(n)
+            if names[tag]:
+                close(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag))
         elif not token[3].endswith("/") or tag in _BLOCKS or tag in _ASIDE:
             if tag in _BLOCKS:  # a block ends an open paragraph, an item the item before
                 for closed in ("p", "li", "dt", "dd", "option"):
@@ -124,6 +132,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             apart = _set_aside(tag, token[3], article > 0)
             own = tag in ("article", "main")
             open_.append((tag, apart, own))
+            names[tag] += 1
             aside += apart
             article += own
     flush()
