@@ -21,9 +21,9 @@ def dau_wide(devices: DataFrame, users: DataFrame, provinces: DataFrame, as_of:
 
 
 def dau_table(pages: DataFrame, users: DataFrame, provinces: DataFrame, as_of: Column,
-              order: list[str] | None = None) -> DataFrame:
+              order: list[str] | None = None, zone: str = "UTC") -> DataFrame:
     """Page rows -> daily-active table: few rows are left before anything is looked up."""
-    return dau_wide(dau_dedup(session_first_page(pages), order), users, provinces, as_of)
+    return dau_wide(dau_dedup(session_first_page(pages), order, zone), users, provinces, as_of, zone)
 
 
 def first_seen(pages: DataFrame, zone: str = "UTC") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemart.functions.scalars import ts_to_dt
+from tidemart.functions.scalars import create_date, ts_to_dt
 
 
 def last_days(rows: DataFrame, day: str | Column, until: str | None, days: int | None) -> DataFrame:
@@ -17,8 +17,18 @@ def last_days(rows: DataFrame, day: str | Column, until: str | None, days: int |
     return rows.where((column >= first) & (column <= F.lit(until)))
 
 
-def with_dt(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("dt", ts_to_dt(F.col("ts")))
+def with_dt(pages: DataFrame, zone: str = "UTC") -> DataFrame:
+    return pages.withColumn("dt", ts_to_dt(F.col("ts"), zone))
+
+
+def page_days(pages: DataFrame, until: str | None, days: int | None, zone: str = "UTC") -> DataFrame:
+    """Pages of the ``days`` days that end with ``until``, by the clock of ``zone``."""
+    return last_days(pages, ts_to_dt(F.col("ts"), zone), until, days)
+
+
+def order_days(orders: DataFrame, until: str | None, days: int | None) -> DataFrame:
+    """Order headers or lines of the ``days`` days that end with ``until``."""
+    return last_days(orders, create_date(F.col("create_time")), until, days)
 
 
 def pv_by_day(pages: DataFrame, until: str | None = None, days: int | None = None) -> DataFrame:
@@ -72,7 +82,9 @@ def visit_stats(pages: DataFrame, by: str, order: list[str]) -> DataFrame:
     """
     needed = pages.select("mid", "ts", "last_page_id", "during_time", by,
                           *(c for c in order if c not in ("ts", by)))
-    marked = mark_visits(needed, order)
+    # Pages without a device are views, but nobody's visit: they must not meet as one device.
+    unknown = needed.where("mid IS NULL").withColumns({"opens": F.lit(False), "bounces": F.lit(False)})
+    marked = mark_visits(needed.where("mid IS NOT NULL"), order).unionByName(unknown)
     device = marked.groupBy("mid", by).agg(
         F.count("*").alias("_pv"), F.sum(F.col("opens").cast("int")).alias("_visits"),
         F.sum(F.col("bounces").cast("int")).alias("_bounces"), F.sum("during_time").alias("_time"))
@@ -85,9 +97,10 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part.cast("double") / whole.cast("double"))
 
 
-def new_vs_returning(pages: DataFrame, order: list[str]) -> DataFrame:
+def new_vs_returning(pages: DataFrame, order: list[str], until: str | None = None,
+                     days: int | None = None) -> DataFrame:
     """``field, old, new``: five measures of returning and of new devices."""
-    stats = visit_stats(pages.where("is_new IS NOT NULL"), "is_new", order)
+    stats = visit_stats(page_days(pages, until, days).where("is_new IS NOT NULL"), "is_new", order)
     measures = {
         "views": F.col("pv").cast("double"), "visitors": F.col("uv").cast("double"),
         "bounce_pct": _rate(F.col("bounces") * 100, F.col("visits")),
@@ -104,19 +117,20 @@ def new_vs_returning(pages: DataFrame, order: list[str]) -> DataFrame:
     return sides.select(F.inline(rows))
 
 
-def channel_pv(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("channel").agg(F.count("*").alias("pv"))
+def channel_pv(pages: DataFrame, until: str | None = None, days: int | None = None) -> DataFrame:
+    return page_days(pages, until, days).groupBy("channel").agg(F.count("*").alias("pv"))
 
 
-def channel_bounce(pages: DataFrame, order: list[str]) -> DataFrame:
-    stats = visit_stats(pages, "channel", order)
+def channel_bounce(pages: DataFrame, order: list[str], until: str | None = None,
+                   days: int | None = None) -> DataFrame:
+    stats = visit_stats(page_days(pages, until, days), "channel", order)
     return stats.select("channel", "visits", "bounces",
                         _rate(F.col("bounces") * 100, F.col("visits")).alias("bounce_pct"))
 
 
-def page_path(pages: DataFrame) -> DataFrame:
+def page_path(pages: DataFrame, until: str | None = None, days: int | None = None) -> DataFrame:
     """How often each page led to each other page."""
-    return (pages.where("last_page_id IS NOT NULL")
+    return (page_days(pages, until, days).where("last_page_id IS NOT NULL")
             .groupBy(F.col("last_page_id").alias("source"), F.col("page_id").alias("target"))
             .agg(F.count("*").alias("value")))
 
@@ -140,20 +154,22 @@ def user_total(users: DataFrame, pages: DataFrame, headers: DataFrame, until: st
         "new_order_user_count", _rate(F.col("_all"), F.col("order_user_total")).alias("pct"))
 
 
-def user_paid(pages: DataFrame, headers: DataFrame) -> DataFrame:
-    """Active users with and without an order."""
+def user_paid(pages: DataFrame, headers: DataFrame, until: str | None = None, days: int | None = None) -> DataFrame:
+    """Users active in the range, with and without an order in it."""
+    pages, headers = page_days(pages, until, days), order_days(headers, until, days)
     active = pages.select(F.col("user_id").try_cast("bigint").alias("user_id")).where("user_id IS NOT NULL").distinct()
     buyers = headers.select("user_id", F.lit(True).alias("_paid")).distinct()
     return active.join(buyers, "user_id", "left").agg(
         F.count_if("_paid").alias("paid"), F.count_if(F.col("_paid").isNull()).alias("unpaid"))
 
 
-def action_funnel(pages: DataFrame, steps: dict[str, str]) -> DataFrame:
+def action_funnel(pages: DataFrame, steps: dict[str, str], until: str | None = None,
+                  days: int | None = None) -> DataFrame:
     """``pos, step, users``: distinct users that saw each step's page, in the order of ``steps``.
 
     One row per user with a flag per step is made first: users are told apart once, not per step.
     """
-    user = pages.where("user_id IS NOT NULL").groupBy("user_id").agg(*(
+    user = page_days(pages, until, days).where("user_id IS NOT NULL").groupBy("user_id").agg(*(
         F.max((F.col("page_id") == page).cast("int")).alias(f"_{i}") for i, page in enumerate(steps.values())))
     sums = user.agg(*(F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(steps))))
     return sums.select(F.inline(F.array(*(
@@ -161,18 +177,19 @@ def action_funnel(pages: DataFrame, steps: dict[str, str]) -> DataFrame:
         for i, step in enumerate(steps)))))
 
 
-def order_total(headers: DataFrame) -> DataFrame:
+def order_total(headers: DataFrame, until: str | None = None, days: int | None = None) -> DataFrame:
     """Orders, amount and buyers. One row per buyer is made first, then added up."""
-    buyer = headers.groupBy("user_id").agg(F.count("*").alias("_n"), F.sum("total_amount").alias("_spent"))
+    buyer = order_days(headers, until, days).groupBy("user_id").agg(F.count("*").alias("_n"), F.sum("total_amount").alias("_spent"))
     return buyer.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("order_count"),
         F.coalesce(F.sum("_spent"), F.lit(0)).cast("double").alias("order_amount"),
         F.count("user_id").alias("order_user"))
 
 
-def orders_by_area(headers: DataFrame, provinces: DataFrame) -> DataFrame:
+def orders_by_area(headers: DataFrame, provinces: DataFrame, until: str | None = None,
+                   days: int | None = None) -> DataFrame:
     """Orders per province. Counted by id first; names are looked up for the counts."""
-    counts = headers.groupBy("province_id").agg(F.count("*").alias("value"))
+    counts = order_days(headers, until, days).groupBy("province_id").agg(F.count("*").alias("value"))
     named = provinces.select(F.col("id").alias("province_id"), "name")
     return counts.join(named, "province_id", "left").groupBy("name").agg(F.sum("value").alias("value"))
 
@@ -188,9 +205,10 @@ def _lines_by(lines: DataFrame, skus: DataFrame, field: str) -> DataFrame:
             .groupBy("name").agg(F.sum("_lines").alias("value")))
 
 
-def orders_by_category(lines: DataFrame, skus: DataFrame, num: int = 7, rest: str = "other") -> DataFrame:
+def orders_by_category(lines: DataFrame, skus: DataFrame, num: int = 7, rest: str = "other",
+                       until: str | None = None, days: int | None = None) -> DataFrame:
     """The ``num`` categories with most lines, and all the rest as one."""
-    counts = _lines_by(lines, skus, "category")
+    counts = _lines_by(order_days(lines, until, days), skus, "category")
     top = counts.where("name IS NOT NULL").orderBy(F.desc("value"), "name").limit(num).select(
         "name", F.lit(True).alias("_top"))
     label = F.when(F.col("_top"), F.col("name")).otherwise(F.lit(rest))
@@ -198,11 +216,12 @@ def orders_by_category(lines: DataFrame, skus: DataFrame, num: int = 7, rest: st
             .agg(F.sum("value").alias("value")))
 
 
-def top_products(lines: DataFrame, num: int = 7) -> DataFrame:
-    names = lines.groupBy("sku_name").agg(F.count("*").alias("value"))
+def top_products(lines: DataFrame, num: int = 7, until: str | None = None, days: int | None = None) -> DataFrame:
+    names = order_days(lines, until, days).groupBy("sku_name").agg(F.count("*").alias("value"))
     return names.orderBy(F.desc("value"), "sku_name").limit(num).withColumnRenamed("sku_name", "name")
 
 
-def top_brands(lines: DataFrame, skus: DataFrame, num: int = 7) -> DataFrame:
-    return (_lines_by(lines, skus, "brand").where("name IS NOT NULL")
+def top_brands(lines: DataFrame, skus: DataFrame, num: int = 7, until: str | None = None,
+               days: int | None = None) -> DataFrame:
+    return (_lines_by(order_days(lines, until, days), skus, "brand").where("name IS NOT NULL")
             .orderBy(F.desc("value"), "name").limit(num))

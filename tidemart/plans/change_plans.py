@@ -13,7 +13,7 @@ from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
 from tidemart.session import scratch_dir
 from tidemart.sinks import keyed
-from tidemart.sources import decode, driver_tables as D
+from tidemart.sources import decode, driver_tables as D, topics
 from tidemart.streaming import jobs
 
 TOPIC_SQL = f"'DWD_' || upper(\"table\") || '_' || op || '_{I.SUFFIX}'"
@@ -28,6 +28,14 @@ def parse_change_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUT = """case when seq % 20 = 3 then 'bad_json' when seq % 20 = 7 then 'id' when seq % 20 = 11 then 'data' end"""
 
 
+@query("topic_source_from_offsets", with_views("""
+    select seq, type, "table" from change where seq % 3 = 0 and seq // 3 >= 40 or seq % 3 = 1"""))
+def topic_source_from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three partitions: one from its offset 40, one from its beginning, one without offset, so from its newest."""
+    log = D.change_log(spark, sf_dir).withColumns({"partition": (F.col("seq") % 3).cast("int"), "offset": F.expr("seq div 3")})
+    return decode.parse_change(topics.from_offsets(log, {0: 40, 1: 0})).select("seq", "type", "table")
+
+
 @query("quarantine_change", with_views(f"""
     select seq, reason from (select seq, {_CUT} reason from change) where reason is not null"""))
 def quarantine_change(spark: SparkSession, sf_dir: str) -> DataFrame:

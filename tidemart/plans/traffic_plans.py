@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemart.operators import traffic
 from tidemart.plans import inputs as I
@@ -138,3 +139,41 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by 1 order by value desc, name limit 7"""))
 def top_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.top_brands(D.order_detail(spark, sf_dir), D.sku_info(spark, sf_dir))
+
+
+# The dashboard's ranges: all reports over the days that end with a given one.
+_PAGE_UNTIL, _PAGE_DAYS = "2024-01-15", 7
+_PAGE_RANGE = (f"cast(dt as date) > date '{_PAGE_UNTIL}' - {_PAGE_DAYS} and cast(dt as date) <= date '{_PAGE_UNTIL}'")
+_ORDER_RANGE = ("cast(split_part(create_time, ' ', 1) as date) > date '{0}' - {1} and "
+                "cast(split_part(create_time, ' ', 1) as date) <= date '{0}'").format(_UNTIL, _DAYS)
+
+
+@query("page_reports_in_range", with_views(f"""
+    select 'channel' report, channel as name, count(*) as value from day_page where {_PAGE_RANGE} group by 2
+    union all select 'path', last_page_id || '>' || page_id, count(*) from day_page
+        where {_PAGE_RANGE} and last_page_id is not null group by 2
+    union all select 'step', step, users from ({" union all ".join(
+        f"select '{step}' step, count(distinct user_id) users from day_page where page_id = '{page}' and {_PAGE_RANGE}"
+        for step, page in STEPS.items())})"""))
+def page_reports_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views by channel, page paths and the funnel over seven days."""
+    page, days = I.pages(spark, sf_dir), {"until": _PAGE_UNTIL, "days": _PAGE_DAYS}
+    return (traffic.channel_pv(page, **days).select(F.lit("channel").alias("report"), F.col("channel").alias("name"),
+                                                    F.col("pv").alias("value"))
+            .union(traffic.page_path(page, **days).select(F.lit("path"), F.concat_ws(">", "source", "target"), "value"))
+            .union(traffic.action_funnel(page, STEPS, **days).select(F.lit("step"), "step", "users")))
+
+
+@query("order_reports_in_range", with_views(f"""
+    select 'total' report, 'orders' as name, count(*) as value from order_info where {_ORDER_RANGE}
+    union all select 'area', province_name, count(*) from header where {_ORDER_RANGE} group by 2
+    union all (select 'product', sku_name, count(*) n from order_detail where {_ORDER_RANGE}
+               group by 2 order by n desc, sku_name limit 7)"""))
+def order_reports_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order count, orders by area and top products over a year."""
+    header, days = D.order_info(spark, sf_dir), {"until": _UNTIL, "days": _DAYS}
+    return (traffic.order_total(header, **days).select(F.lit("total").alias("report"), F.lit("orders").alias("name"),
+                                                       F.col("order_count").alias("value"))
+            .union(traffic.orders_by_area(header, D.base_province(spark, sf_dir), **days)
+                   .select(F.lit("area"), "name", "value"))
+            .union(traffic.top_products(D.order_detail(spark, sf_dir), **days).select(F.lit("product"), "name", "value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def kafka_source_options(servers: str, topic: str, group: str,
@@ -33,6 +34,15 @@ def kafka_source_options(servers: str, topic: str, group: str,
     return options
 
 
+def from_offsets(messages: DataFrame, offsets: dict[int, int]) -> DataFrame:
+    """Stored messages (``partition``, ``offset``, ...) from given offsets on, as a stream would start from them.
+
+    A partition without a given offset starts at its newest one: nothing that is stored counts.
+    """
+    start = F.create_map(*(F.lit(x) for pair in sorted(offsets.items()) for x in pair)) if offsets else None
+    return messages.where(F.col("offset") >= start[F.col("partition")]) if offsets else messages.limit(0)
+
+
 def kafka_sink_options(servers: str) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": servers,
