@@ -23,15 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemart.llm.components import components
+from tidemart.llm.shingle_join import alike_classes
 from tidemart.llm.tables import stored, word_blocks
 
 SEED = 42
 #: Words of a shingle, bits that may differ, 64-bit words of a fingerprint: what the query uses.
 SHINGLE, DISTANCE, WORDS = 3, 3, 1
-#: The pipeline's stage looks for texts whose five-word shingles are at least 0.8 alike. Their
-#: three-word fingerprints differ in about a tenth of the bits; 60 of 448 bits leave a margin, and
-#: fourteen tables bring 93 % of such pairs together (measured on 15,000 documents).
-STAGE_WORDS, STAGE_DISTANCE = 7, 60
 
 
 def _bit_counts(hashes: list[int], words: int) -> np.ndarray:
@@ -163,13 +160,14 @@ def near_classes(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE,
             .select("doc_id", "text_hash", node.alias("fingerprint"), "component_id", "root"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, distance: int = STAGE_DISTANCE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the smallest ``doc_id``.
 
-    Rows equal in ``doc_id`` and ``text`` are one document and stay or go together. All columns
-    are kept; a class without any id keeps one text.
+    Documents are linked if their five-word shingles are at least 0.8 alike; every such link is found
+    and each is verified on the shingles. Rows equal in ``doc_id`` and ``text`` are one document and
+    stay or go together. All columns are kept; a class without any id keeps one text.
     """
-    classes = near_classes(docs, words, distance)
+    classes = alike_classes(docs)
     stay = (classes.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(
         F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
         .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")))
