@@ -176,6 +176,27 @@ def test_odd_markup():
     assert html_text.extract("<article>cut off in a <a href") == "cut off in a"
 
 
+def test_unlabelled_clutter_in_main():
+    text = "A paragraph that is long enough to be taken as main text of the page."
+    links = "<ul class=zz>" + "<li><a href=/x>Some other story of this site</a></li>" * 5 + "</ul>"
+    short = "<div class=zz>Three left this month</div>"
+    page = f"<main><h1>Title</h1>{links}<p>{text}</p><p><a href=/y>one link on its own</a></p><p>{text}</p>{links}{short}{links}</main>"
+    assert html_text.extract(page).split("\n\n") == ["Title", text, "one link on its own", text]
+    bare = f"<div>{links}</div><div><p>{text}</p><p>{text}</p></div><div>{links}</div>"
+    assert html_text.extract(bare).split("\n\n") == [text, text]
+
+
+def test_page_wide_wrappers():
+    text = "A paragraph that is long enough to be taken as main text of the page."
+    nav, foot = "<nav>Home and away</nav>", "<div class=site-footer>Imprint, and all else that stands in a footer</div>"
+    for inner in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+        for wrapper in ("form action=/", 'div class="page has-sidebar"', "div class=with-banner", "div class=side-nav-layout"):
+            page = f"<body><{wrapper}>{nav}{inner}{foot}</{wrapper.split()[0]}></body>"
+            assert html_text.extract(page) == text, (wrapper, inner)
+    assert html_text.extract(f"<div class=sidebar><main><p>{text}</p></main></div>") == text
+    assert html_text.extract(f"<article><p>{text}</p></article><form><p>{text * 5}</p></form>") == text
+
+
 def test_pages(spark, sf):
     import html
     rows = {r.page_id: r for r in html_text.extract_pages(read(spark, sf, "pages")).collect()}

@@ -2,8 +2,10 @@
 
 A page is stripped to lines, one for each block of its layout; what lies inside menus, headers,
 footers, sidebars, forms, adverts, notices or comment sections is marked as set aside while
-stripping and counts as lines without text. Lengths are summed over a sliding window of lines. Where
-the sum surges, the main text begins; where it dives to nothing, it ends; what lies between is kept.
+stripping and counts as lines without text, as do lists of links. Lengths are summed over a sliding
+window of lines. Where the sum surges, the main text begins; where it dives to nothing, it ends; what
+lies between is kept. An article or main element bounds where this is looked for. Elements that would
+set aside the bulk of a page are no clutter; see ``_wrappers``.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,9 @@ _ASIDE_NAME = re.compile(
     r"masthead|comments?|commentlist|disqus\w*|respond|replies|reply|cookies?\w*|consent\w*|notices?|gdpr|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widgets?|pagination|"
     r"pager|toolbar|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.IGNORECASE)
+#: Class names that tell of the layout around an element, not what is in it.
+_LAYOUT_NAME = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]|[_-](?:layout|page|wrapper|container|grid|body)$", re.IGNORECASE)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.VERBOSE)
@@ -45,47 +51,79 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _SPACES = re.compile(r"\s+")
 
 
-def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
+
+
+def _hidden(own: dict[str, str], attributes: str) -> bool:
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)) or own.get("aria-hidden") == "true"
+                or re.search(r"display\s*:\s*none", own.get("style", "")))
+
+
+class Line(NamedTuple):
+    text: str
+    asides: tuple[int, ...]  # numbers of the open elements that set it aside
+    inside: bool  # of an article or main element
+    heading: bool
+    links: int  # code points of link text
+
+
+class Aside:
+    """An element that is set aside: for certain or not, and the articles and mains in it."""
+
+    def __init__(self, tag: str, certain: bool) -> None:
+        self.tag, self.certain, self.articles, self.mains = tag, certain, 0, 0
+
+
+def _set_aside(tag: str, attributes: str, in_article: bool) -> int:
+    """0 if it is not set aside, 1 if it is for its name or as a form, 2 if it is for certain."""
     if tag in _ASIDE:
         # A header inside the article may hold its heading.
-        return not (tag == "header" and in_article)
+        if not (tag == "header" and in_article):
+            certain = tag not in ("form", "fieldset")
+            return 2 if certain or _hidden(_attributes(attributes), attributes) else 1
+        return 0
     if not attributes:
-        return False
-    own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)) or own.get("aria-hidden") == "true" \
-            or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True
-    if own.get("role", "").lower() in _ASIDE_ROLES:
-        return True
+        return 0
+    own = _attributes(attributes)
+    if _hidden(own, attributes) or own.get("role", "").lower() in _ASIDE_ROLES:
+        return 2
     if tag in ("article", "main", "body", "html"):
-        return False
+        return 0
     names = own.get("class", "") + " " + own.get("id", "")
     if in_article:  # a header there may hold the heading
         names = re.sub(r"\bheader\b", " ", names, flags=re.IGNORECASE)
-    return bool(_ASIDE_NAME.search(names)) and not _MAIN_NAME.search(names)
+    names = " ".join(name for name in names.split() if not _LAYOUT_NAME.search(name))
+    return int(bool(_ASIDE_NAME.search(names)) and not _MAIN_NAME.search(names))
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's blocks in order: text, whether it was set aside, whether it lies in an article."""
-    lines: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> tuple[list[Line], list[Aside]]:
+    """The page's blocks in order, and the elements that set text aside."""
+    lines: list[Line] = []
+    asides: list[Aside] = []
+    within: list[int] = []  # numbers of those that are open
     parts: list[str] = []
+    link_parts: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # element, set aside, article
     names: Counter[str] = Counter()  # of open elements
-    aside = article = 0
+    article = 0
     at, end = 0, len(page)
 
     def flush() -> None:
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            lines.append((text, aside > 0, article > 0))
+            links = len(_SPACES.sub(" ", html.unescape("".join(link_parts))).strip())
+            lines.append(Line(text, tuple(within), article > 0, any(names[h] for h in _HEADINGS), links))
+        link_parts.clear()
 
     def close(n: int) -> None:
-        nonlocal aside, article
+        nonlocal article
         while len(open_) > n:
             name, was_aside, was_article = open_.pop()
             names[name] -= 1
-            aside -= was_aside
+            if was_aside:
+                within.pop()
             article -= was_article
 
     while at < end:
@@ -93,6 +131,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if mark < 0:
             mark = end
         parts.append(page[at:mark])
+        if names["a"]:
+            link_parts.append(page[at:mark])
         if mark == end:
             break
         token = _TOKEN.match(page, mark) or _LOOSE.match(page, mark)
@@ -131,26 +171,57 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                         close(len(open_) - 1)
             apart = _set_aside(tag, token[3], article > 0)
             own = tag in ("article", "main")
-            open_.append((tag, apart, own))
+            if own:
+                for k in within:
+                    asides[k].articles += tag == "article"
+                    asides[k].mains += tag == "main"
+            open_.append((tag, apart > 0, own))
             names[tag] += 1
-            aside += apart
+            if apart:
+                within.append(len(asides))
+                asides.append(Aside(tag, apart == 2))
             article += own
     flush()
-    return lines
+    return lines, asides
 
 
-def extract(page: str | None) -> str:
-    """The main text: its blocks joined by blank lines; empty if the page has none."""
-    lines = lines_of(page or "")
+def _wrappers(lines: list[Line], asides: list[Aside]) -> set[int]:
+    """Numbers of elements that hold the bulk of the page's text and are forms or hold its article.
+
+    A page with an article outside of such elements has none.
+    """
+    weight: Counter[int] = Counter()
+    total = 0
+    for line in lines:
+        if line.inside and not line.asides:
+            return set()
+        own = max(len(line.text) - line.links, 0)
+        total += own
+        for k in line.asides:
+            weight[k] += own
+    return {k for k, aside in enumerate(asides) if not aside.certain and 2 * weight[k] > total
+            and (aside.tag in ("form", "fieldset") or aside.mains or aside.articles == 1)}
+
+
+def _dense(lines: list[Line], free: set[int]) -> list[str]:
+    """Lines between surge and dive; elements in ``free`` set nothing aside."""
+    apart = [any(k not in free for k in line.asides) for line in lines]
     # An article that is marked as such bounds where text is looked for.
-    marked = any(inside and not apart for _, apart, inside in lines)
-    lengths = [0 if apart or (marked and not inside) else len(text) for text, apart, inside in lines]
-    kept: list[str] = []
-    total, n = 0, len(lines)
-    sums = []
+    marked = any(line.inside and not a for line, a in zip(lines, apart))
+    n = len(lines)
+    looked = [not a and (line.inside or not marked) for line, a in zip(lines, apart)]
+    linked = [look and 2 * line.links > len(line.text) and not line.heading for look, line in zip(looked, lines)]
+    # A line that is a link counts as a list if the line before or after is one too.
+    listed = [linked[i] and (i > 0 and linked[i - 1] or i + 1 < n and linked[i + 1]) for i in range(n)]
+    lengths = [len(line.text) if look and not li else 0 for line, look, li in zip(lines, looked, listed)]
+    weights = [max(length - line.links, 0) if length else 0 for length, line in zip(lengths, lines)]
+    total, sums, mass, masses = 0, [], 0, []
     for i in range(n + WINDOW):  # sum over the lines up to i
         total += (lengths[i] if i < n else 0) - (lengths[i - WINDOW] if i >= WINDOW else 0)
+        mass += (weights[i] if i < n else 0) - (weights[i - WINDOW] if i >= WINDOW else 0)
         sums.append(total)
+        masses.append(mass)
+    runs: list[tuple[int, bool, list[str]]] = []
     i = 0
     while i < n:
         if not sums[i]:
@@ -159,10 +230,22 @@ def extract(page: str | None) -> str:
         stop = i
         while sums[stop]:  # until the window has run empty: the dive
             stop += 1
-        # Surge: some window in between holds enough; in a marked article any text does.
-        if marked or max(sums[i:stop]) >= SURGE:
-            kept.extend(text for (text, _, _), length in zip(lines[i:stop], lengths[i:stop]) if length)
+        # Surge: some window in between holds enough; headings of a marked article need none.
+        surge = max(masses[i:stop])
+        keep = surge >= SURGE or marked and any(line.heading and length for line, length in zip(lines[i:stop], lengths[i:stop]))
+        runs.append((surge, keep, [line.text for line, length in zip(lines[i:stop], lengths[i:stop]) if length]))
         i = stop
+    if marked and runs and not any(keep for _, keep, _ in runs):  # a short article: its densest run
+        return max(runs, key=lambda run: run[0])[2]
+    return [text for _, keep, texts in runs if keep for text in texts]
+
+
+def extract(page: str | None) -> str:
+    """The main text: its blocks joined by blank lines; empty if the page has none."""
+    lines, asides = lines_of(page or "")
+    kept = _dense(lines, _wrappers(lines, asides))
+    if not kept:  # nothing is left: what was set aside for its name alone may be the text
+        kept = _dense(lines, {k for k, aside in enumerate(asides) if not aside.certain})
     return "\n\n".join(kept)
 
 
