@@ -7,6 +7,8 @@ licences; nothing is matched in part.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,24 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+KNOWN += [("Apache-2.0", _APACHE_HEADER), ("MPL-2.0", _MPL_HEADER)]
+#: Whole texts, one file each, by the licence's name.
+KNOWN += [(file.stem, file.read_text("utf-8")) for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+KNOWN += [(name, f"{title}\n\n{text}") for name, title in (
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("Zlib", "zlib License"))
+    for known, text in KNOWN if known == name]
+KNOWN += [(name, f"SPDX-License-Identifier: {name}") for name in (
+    "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "Zlib")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
