@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.llm import (
-    decontaminate, html_text, importance, licenses, line_index, pieces, quality_trees, rule_forest, secrets, sharding, simhash, turns)
+    decontaminate, html_text, importance, language_net, licenses, line_index, pieces, quality_trees, rule_forest,
+    secrets, sharding, simhash, turns)
 from tidemart.llm.tables import read
 from tidemart.session import scratch_dir
 
@@ -264,3 +265,9 @@ from convs left join faults using (g) left join ended using (g)""")
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations")
     return turns.repair(conversations, turns.damaged(conversations))
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_net.predict(docs, language_net.fit(docs))
