@@ -144,33 +144,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     """A net from at most ``sample`` documents a language, or None if no text has a language.
 
-    Each task keeps the first ids of a language only, so a frequent language is no load on one task.
-    Texts without a letter teach nothing. Repeated ids and texts count as often as they are there.
+    Languages are counted first, so that a task sends on no more documents of a frequent language than are wanted, and of
+    these only the windows. Texts without a letter teach nothing; a document that is repeated counts once.
     """
-    ids = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select(
-        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("_order"))
-    first = Window.partitionBy("lang").orderBy("_order")
-    rows = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("lang", "text")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select(
+        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("order"))
+    often = known.groupBy("lang").agg(F.approx_count_distinct("order").alias("n"))
+    # Twice as many as wanted by their hash: fewer than wanted are left by no chance worth speaking of.
+    place = F.shiftrightunsigned("order", 1) / F.lit(float(1 << 63))
+    some = known.join(often, "lang").where(place < 2.0 * sample / F.col("n")).select("lang", "order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = []
+            for lang, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 value = text.as_py()
                 if _LETTER.search(value):
                     every = windows(as_bytes(value))
-                    for at in sorted({round(i * (len(every) - 1) / max(1, WINDOWS - 1)) for i in range(WINDOWS)}):
-                        langs.append(lang)
-                        found.append(every[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "x"])
+                    at = sorted({round(i * (len(every) - 1) / max(1, WINDOWS - 1)) for i in range(WINDOWS)})
+                    rows.append((lang, order, every[at].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
+                 pa.array([r[2] for r in rows], pa.binary())], names=["lang", "order", "x"])
 
+    one = some.mapInArrow(run, "lang STRING, order BIGINT, x BINARY").groupBy("lang", "order").agg(F.min("x").alias("x"))
+    first = Window.partitionBy("lang").orderBy("order")
     # At most ``sample`` times ``WINDOWS`` windows a language.
-    got = rows.mapInArrow(run, "lang STRING, x BINARY").orderBy("lang", "x").collect()
+    got = (one.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+           .orderBy("lang", "order").select("lang", "x").collect())
     if not got:
         return None
     langs = sorted({r.lang for r in got})
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), dtype=np.uint8).reshape(-1, LENGTH)
-    return train(x, np.array([langs.index(r.lang) for r in got]), langs)
+    y = np.repeat([langs.index(r.lang) for r in got], [len(r.x) // LENGTH for r in got])
+    return train(x, y, langs)
 
 
 def predict(docs: DataFrame, net: Net | None) -> DataFrame:

@@ -155,11 +155,16 @@ def counts(rows: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")))
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Parsing costs time, not bytes, by which Spark would deal rows to fewer tasks."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+
+
 def sorted_parts(rows: DataFrame) -> DataFrame:
     """``marked`` rows in the order of their conversations, dealt over tasks by ranges: ``part`` says to which, ``place``
     where in it. A conversation with very many rows has many parts. Rows of one turn go by role, then by digest of the text.
     """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+    tasks = _tasks(rows)
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("digest")]
     initial = F.left("role", F.lit(1))
     known = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
@@ -217,7 +222,7 @@ def part_cells(placed: DataFrame) -> DataFrame:
             yield conv_id, part, *_as_lists(joined(blocks)), first, last, illegal
 
     wanted = placed.select("conv_id", "part", "initial", "letter", "copies", "place")
-    return wanted.repartition("part").sortWithinPartitions("part", "place").drop("place").mapInArrow(
+    return wanted.repartition(_tasks(placed), "part").sortWithinPartitions("part", "place").drop("place").mapInArrow(
         lambda batches: _batches(cells(_rows(batches)), schema), schema)
 
 
