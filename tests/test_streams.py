@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemart import schemas as S
 from tidemart.functions.scalars import event_time
-from tidemart.operators import dedup, orders
+from tidemart.operators import dedup, device_state, orders, reports, traffic, visitor_sets
 from tidemart.sinks import keyed
 from tidemart.sinks.topics import file_sink
 from tidemart.sources import decode, topics
-from tidemart.streaming import jobs
+from tidemart.streaming import accounts, jobs
 
 DAY = 86_400_000
 
@@ -34,6 +34,7 @@ class Feed:
 
 def run(stream, path, mode="append"):
     """All of a stream's output so far; the query goes on where it left off."""
+    accounts.keep(stream.sparkSession)
     jobs.run_to_end(stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out")
                     .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(), 300)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
@@ -97,21 +98,84 @@ def test_rows_behind_given_arrival_times_are_reported(spark, path):
         run(joined, path)
 
 
-def test_orphans_come_out_after_their_time(spark, path):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_one_job_gives_wide_rows_and_orphans_of_both_sides(spark, path, salts):
     hf, lf, headers, lines = order_streams(spark, path)
+    stored_dims(spark, f"{path}/dims")
     when = event_time(F.col("create_time"))
-    how = {"header_at": when, "line_at": when, "late": "1 second"}
-    alone = orders.unmatched_headers_stream(headers, lines, **how)
-    with_orphans = orders.join_order_streams(headers, lines, how="left_outer", **how)
-    hf.put(header(1, "2001-01-01 10:00:00"), header(2, "2001-01-01 10:00:00"))
+
+    def job():
+        jobs.run_to_end(jobs.order_job(
+            headers, lines, f"{path}/dims", f"{path}/wide", f"{path}/cp", F.lit("2001-01-01").cast("date"), salts=salts,
+            line_orphans=f"{path}/alone/lines", header_orphans=f"{path}/alone/headers", header_at=when, line_at=when,
+            late="1 second", every=None), 300)
+        return [sorted(r.id for r in keyed.layers(spark, f"{path}/alone/{side}", layout).collect())
+                for side, layout in (("headers", jobs.HEADER_ORPHANS), ("lines", jobs.LINE_ORPHANS))]
+
+    hf.put(header(1, "2001-01-01 10:00:00"), header(2, "2001-01-01 10:00:00"), header(4, "2001-01-01 10:00:00"))
     lf.put(*(line(i, 1, "2001-01-01 10:00:00") for i in range(10, 30)), line(30, 3, "2001-01-01 10:00:00"))
+    assert job() == [[], []]
+    lf.put(line(40, 4, "2001-01-02 09:00:00"))
+    hf.put(header(5, "2001-01-02 09:00:00"))
+    assert job() == [[], []]
     for day in ("05", "09", "13", "17"):
         hf.put(header(int(day) * 100, f"2001-01-{day} 10:00:00"))
         lf.put(line(int(day) * 1000, int(day) * 100, f"2001-01-{day} 10:00:00"))
-    assert sorted(r.id for r in run(alone, f"{path}/a").collect()) == [2]
-    got = run(with_orphans, f"{path}/b")
-    assert sorted(r.d_id for r in got.where("h_id IS NULL").collect()) == [30]
-    assert got.where("h_id = 1").count() == 20
+    assert job() == [[2, 5], [30]]
+    wide = keyed.read_latest(spark, f"{path}/wide", jobs.ORDER_WIDE_STORED, ["order_id", "detail_id"])
+    assert sorted((r.order_id, r.detail_id) for r in wide.where("order_id < 10").collect()) == [
+        *((1, i) for i in range(10, 30)), (4, 40)]
+
+
+def test_either_side_of_orders_is_in_the_state_once(spark, path):
+    """Against a join for wide rows and lines alone, and another one for headers alone."""
+    hf, lf, headers, lines = order_streams(spark, path)
+    hf.put(*(header(i, "2001-01-01 10:00:00") for i in range(100)))
+    lf.put(*(line(i, i % 120, "2001-01-01 10:00:00") for i in range(500)))
+
+    def held(stream, name):
+        query = jobs.start(stream, lambda rows, i: rows.count(), f"{path}/{name}", every=None)
+        jobs.run_to_end(query, 300)
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    one = held(orders.join_order_streams(headers, lines, how="full_outer"), "one")
+    other = held(orders.join_order_streams(headers, lines, how="left_outer"), "two")
+    assert one == other == 600  # a second join for headers alone would hold as many again
+
+
+def test_accounts_of_many_batches(spark, path):
+    """A row that is late in an early batch is known after more batches than a query remembers."""
+    feed = Feed(f"{path}/pages")
+    _, at = arriving(spark, feed)
+    for number in range(150):
+        feed.put(at_hour(f"m{number}", 0 if number == 3 else 100 + number))
+    one_by_one = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        stream = dedup.dau_dedup_stream(
+            decode.parse_typed(topics.file_topic(spark, feed.folder, 1), S.PAGE_LOG), "1 hour", salts=1, at=at)
+        query = jobs.start(stream, lambda rows, i: rows.count(), f"{path}/cp", every=None, keep=False)
+        query.awaitTermination(900)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", one_by_one)
+    with pytest.raises(RuntimeError, match="1 rows came behind the watermark"):
+        jobs.run_to_end(query)
+    assert accounts.account(query).batches >= 150 > len(query.recentProgress)
+
+
+def test_messages_read_are_used_or_set_aside(spark, path):
+    feed = Feed(f"{path}/logs")
+    feed.put({"common": {"mid": "a"}, "page": {"page_id": "p", "during_time": "1"}, "ts": 1}, '{"cut')
+    feed.put({"common": {"mid": "a"}, "page": {"page_id": "p", "during_time": "x"}, "ts": 1}, {"err": {"c": 1}})
+    query = jobs.log_router(topics.file_topic(spark, feed.folder, 1), file_sink(f"{path}/topics"), f"{path}/cp", "t",
+                            f"{path}/bad", every=None)
+    jobs.run_to_end(query, 300)
+    account = accounts.account(query)
+    assert (account.read, account.used, account.set_aside, account.wrong_batch) == (4, 2, 2, None)
+    lost = accounts.judged(decode.parse_log(accounts.read(topics.file_topic(spark, feed.folder, 1))).where("ts = 1"))
+    # The filter stands between reading and judging: rows go missing.
+    query = jobs.start(lost, lambda rows, i: rows.count(), f"{path}/cp2", every=None)
+    with pytest.raises(RuntimeError, match="neither used nor set aside"):
+        jobs.run_to_end(query, 300)
 
 
 def page(mid, ts, last=None):
@@ -313,3 +377,120 @@ def test_continuous_trigger(spark, path):
     finally:
         query.stop()
     assert seen == [1, 2]
+
+
+def arriving(spark, feed):
+    """Pages whose ``during_time`` is the hour in which they arrive, counted from some day."""
+    pages = decode.parse_typed(topics.file_topic(spark, feed.folder), S.PAGE_LOG)
+    return pages, F.timestamp_seconds(F.col("during_time") * 3600 + 86_400_000)
+
+
+def at_hour(mid, hour, ts=10 * DAY):
+    return {**page(mid, ts), "during_time": hour}
+
+
+def test_each_use_renews_a_device(spark, path):
+    feed = Feed(f"{path}/pages")
+    pages, at = arriving(spark, feed)
+    first = device_state.dau_renewed_stream(pages, DAY, at=at)
+
+    def count(mid):
+        return run(first, path).where(F.col("mid") == mid).count()
+    feed.put(at_hour("a", 0), at_hour("a", 3, 10 * DAY + 5), at_hour("b", 0), at_hour(None, 0), at_hour(None, 1))
+    assert count("a") == 1
+    feed.put(at_hour("a", 20), at_hour("c", 20))  # each start goes on from the checkpoint
+    assert count("a") == 1
+    feed.put(at_hour("a", 40), at_hour("a", 40, 11 * DAY), at_hour("b", 23))
+    assert count("a") == 2  # another day of its own
+    feed.put(at_hour("a", 63), at_hour("b", 47, 10 * DAY), at_hour("c", 44))
+    assert count("a") == 2 and count("b") == 2 and count("c") == 2  # 24 hours unused are too many
+    assert run(first, path).where("mid IS NULL").count() == 1
+
+
+def test_unused_devices_leave_the_state(spark, path):
+    feed = Feed(f"{path}/pages")
+    pages, at = arriving(spark, feed)
+    first = device_state.dau_renewed_stream(pages, DAY, at=at)
+    held = []
+
+    def batch(rows, batch_id):
+        rows.count()
+
+    for hour, mids in ((0, "abc"), (20, "a"), (30, "d"), (40, "a"), (60, "a"), (200, "e"), (400, "f")):
+        feed.put(*(at_hour(m, hour) for m in mids))
+        query = jobs.start(first, batch, f"{path}/cp", every=None)
+        jobs.run_to_end(query, 300)
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    # By the end only the last two devices to come are left; a batch takes out what was due before it.
+    assert held[:2] == [3, 3] and held[-1] == 2
+
+
+def test_many_pages_of_a_device_become_one_before_they_are_sent(spark, path):
+    feed = Feed(f"{path}/pages")
+    pages, at = arriving(spark, feed)
+    feed.put(*(at_hour("hot", 1, 10 * DAY + i) for i in range(3000)), at_hour("x", 1))
+    first = device_state.dau_renewed_stream(pages, DAY, at=at)
+    sent = []
+    query = jobs.start(first, lambda rows, i: sent.append(sorted((r.mid, r.ts - 10 * DAY) for r in rows.collect())), f"{path}/cp",
+                       every=None)
+    jobs.run_to_end(query, 300)
+    assert sent[0] == [("hot", 0), ("x", 0)]
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] <= 6
+
+
+def test_hour_counts_do_not_depend_on_the_order_of_pages(spark, path):
+    feed = Feed(f"{path}/pages")
+    hour = 3_600_000
+
+    def counts():
+        pages = decode.parse_typed(topics.file_topic(spark, feed.folder, 1), S.PAGE_LOG)
+        jobs.run_to_end(jobs.hour_changes_job(pages, f"{path}/changes", f"{path}/cp1", every=None), 300)
+        jobs.run_to_end(jobs.hour_counts_job(spark, f"{path}/changes", f"{path}/counts", f"{path}/cp2", every=None), 300)
+        return sorted((r.dt, r.hr, r.n) for r in jobs.read_hours(spark, f"{path}/counts").collect())
+
+    feed.put(page("a", 20 * DAY + 5 * hour), page("b", 20 * DAY + 5 * hour), page("c", 20 * DAY + 9 * hour, "home"))
+    assert counts() == [("1970-01-21", "05", 2)]
+    feed.put(page("a", 20 * DAY + 7 * hour), page("a", 21 * DAY), page("d", 20 * DAY + 23 * hour))
+    assert counts() == [("1970-01-21", "05", 2), ("1970-01-21", "23", 1), ("1970-01-22", "00", 1)]
+    feed.put(page("a", 20 * DAY + 2 * hour), page("b", 20 * DAY + 2 * hour + 1))  # earlier ones come last
+    feed.put(page("b", 20 * DAY + hour), page("z", None))
+    both = [("1970-01-21", "01", 1), ("1970-01-21", "02", 1), ("1970-01-21", "23", 1), ("1970-01-22", "00", 1)]
+    assert counts() == both
+    assert counts() == both  # nothing new
+    rows = jobs.read_hours(spark, f"{path}/counts")
+    live = {(r.series, r.hr): r.n for r in reports.realtime_of_hours(rows, "1970-01-22").collect()}
+    assert live == {("total", None): 1, ("today", "00"): 1, ("yesterday", "01"): 1, ("yesterday", "02"): 1, ("yesterday", "23"): 1}
+
+
+def test_visitor_sets_answer_ranges_like_the_pages(spark, path):
+    """Over several batches, one of them run twice, and a device numbered in an earlier batch."""
+    steps = {"home": "p0", "detail": "p1"}
+    sets = visitor_sets.visit_sets(steps)
+    rows = [(f"m{i % 13}" if i % 11 else None, f"u{i % 7}" if i % 5 else None, f"p{i % 3}", str(i % 2), (20 + i % 6) * DAY + i)
+            for i in range(400)] + [("m1", "u1", "p0", "1", None)]
+    pages = spark.createDataFrame(rows, "mid STRING, user_id STRING, page_id STRING, is_new STRING, ts BIGINT")
+    for batch_id in (0, 1, 1, 2):
+        visitor_sets.store(pages.where(F.coalesce(F.col("ts") % 3, F.lit(0)) == batch_id), batch_id, path, sets)
+    numbers = visitor_sets.numbers(spark, path)
+    for subject, n in (("mid", 13), ("user_id", 7)):
+        assert sorted(r.number for r in numbers.where(F.col("subject") == subject).collect()) == list(range(1, n + 1))
+    stored, views = visitor_sets.stored_sets(spark, path), visitor_sets.stored_views(spark, path)
+    timed = pages.where("ts IS NOT NULL")
+    same = sorted(map(tuple, traffic.uv_by_day(timed).collect()))
+    assert sorted(map(tuple, visitor_sets.uv_by_day(stored).collect())) == same and len(same) == 6
+    for until, days in ((None, None), ("1970-01-24", 1), ("1970-01-25", 3), ("1999-01-01", 30)):
+        for got, wanted in (
+                (visitor_sets.visit_total(stored, views, until, days), traffic.visit_total(timed, until, days)),
+                (visitor_sets.action_funnel(stored, steps, until, days), traffic.action_funnel(timed, steps, until, days))):
+            assert got.columns == wanted.columns and list(map(tuple, got.collect())) == list(map(tuple, wanted.collect()))
+    plan = visitor_sets.visit_total(stored, views, "1970-01-24", 3)._jdf.queryExecution().toString()
+    assert "/sets" in plan and "PartitionFilters: [isnotnull(dt" in plan and "mid" not in plan
+    assert visitor_sets.visit_total(stored.limit(0), views.limit(0)).collect()[0][:] == (0, 0, 0)
+
+
+def test_numbers_do_not_need_one_task(spark, monkeypatch):
+    monkeypatch.setattr(visitor_sets, "AT_ONCE", 10)
+    ids = spark.range(500).select(F.lit("mid").alias("subject"), F.concat(F.lit("m"), "id").alias("id"))
+    known = spark.createDataFrame([("mid", "m0", 40, 0), ("user_id", "m1", 90, 0)], visitor_sets.NUMBERS)
+    found = visitor_sets.new_numbers(ids.where("id <> 'm0'"), known).collect()
+    assert sorted(r.number for r in found) == list(range(41, 540))

@@ -83,7 +83,9 @@ def join_order_streams(headers: DataFrame, lines: DataFrame, within: str = "24 h
     ``header_at`` and ``line_at`` say when a row arrived if the source knows; a row's micro-batch
     does otherwise. Only with these can rows come out of turn, by up to ``late``. Streams are not re-planned at run time: where single orders have very many
     lines, these are spread over ``salts`` tasks and the one header is copied to each. ``how`` is
-    inner, or left_outer to let lines out for which no header came in time.
+    inner, left_outer to let lines out for which no header came in time, or full_outer to let
+    out headers without a line as well; see ``split_joined``. As many salts are enough as let the lines of
+    the largest order, divided by them, fit a task.
     """
     left = (_prefixed(lines.withColumn("at", arrival(line_at)), "d_")
             .withColumn("d_salt", F.pmod(F.xxhash64("d_id"), F.lit(salts)).cast("int"))
@@ -93,17 +95,22 @@ def join_order_streams(headers: DataFrame, lines: DataFrame, within: str = "24 h
              .withWatermark("h_at", late))
     on = F.expr(f"""d_order_id = h_id AND d_salt = h_salt
                     AND d_at >= h_at - INTERVAL {within} AND d_at <= h_at + INTERVAL {within}""")
-    return left.join(right, on, how).drop("d_salt", "h_salt", "d_at", "h_at")
-
-
-def unmatched_headers_stream(headers: DataFrame, lines: DataFrame, within: str = "24 hours",
-                             header_at: Column | None = None, line_at: Column | None = None,
-                             late: str = "0 seconds") -> DataFrame:
-    """Headers to which no line came in time, once that time is past. For the parameters see ``join_order_streams``."""
-    left = _prefixed(headers.withColumn("at", arrival(header_at)), "h_").withWatermark("h_at", late)
-    right = (lines.select(F.col("order_id").alias("d_order_id"), arrival(line_at).alias("d_at"))
-             .withWatermark("d_at", late))
-    on = F.expr(f"""h_id = d_order_id AND d_at >= h_at - INTERVAL {within}
-                    AND d_at <= h_at + INTERVAL {within}""")
-    alone = left.join(right, on, "left_outer").where("d_order_id IS NULL")
-    return alone.select(*(F.col(f"h_{c}").alias(c) for c in headers.columns))
+    joined = left.join(right, on, how).drop("d_at", "h_at")
+    return joined if how == "full_outer" else joined.drop("d_salt", "h_salt")
+
+
+def split_joined(joined: DataFrame, salts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of a full outer ``join_order_streams``: lines with their header, lines alone, headers alone.
+
+    A header was copied to each salt, and its copies come out alone together, when their time is past. It is
+    alone only if all of them are.
+    """
+    lines_alone = joined.where("h_salt IS NULL").select(
+        *(F.col(c).alias(c[2:]) for c in joined.columns if c.startswith("d_") and c != "d_salt"))
+    copies = joined.where("d_salt IS NULL").select(
+        "h_salt", *(F.col(c).alias(c[2:]) for c in joined.columns if c.startswith("h_") and c != "h_salt"))
+    if salts > 1:
+        header = [c for c in copies.columns if c != "h_salt"]
+        copies = copies.groupBy(*header).agg(F.count_distinct("h_salt").alias("h_salt")).where(F.col("h_salt") == salts)
+    matched = joined.where("h_salt IS NOT NULL AND d_salt IS NOT NULL").drop("h_salt", "d_salt")
+    return matched, lines_alone, copies.drop("h_salt")

@@ -33,10 +33,16 @@ def dau_realtime(dau: DataFrame, day: str | None = None) -> DataFrame:
     Without ``day``, for every day in the table. The table is read once: each hour's count
     is used for its own day and the day after.
     """
-    rows = dau
-    if day is not None:
-        rows = dau.where(F.col("dt").isin(day) | (F.col("dt") == day_shift(F.lit(day), -1)))
-    hours = rows.groupBy("dt", "hr").agg(F.count("*").alias("n"))
+    return realtime_of_hours(dau_by_hour(_day_and_before(dau, day)), day)
+
+
+def _day_and_before(rows: DataFrame, day: str | None) -> DataFrame:
+    return rows if day is None else rows.where(F.col("dt").isin(day) | (F.col("dt") == day_shift(F.lit(day), -1)))
+
+
+def realtime_of_hours(hours: DataFrame, day: str | None = None) -> DataFrame:
+    """``dau_realtime`` from ``dt, hr, n``, such as the stored counts that a stream keeps up; devices are not read."""
+    hours = _day_and_before(hours, day).where("n <> 0")
 
     def entry(day_column: Column, series: str, hr: Column) -> Column:
         return F.struct(day_column.alias("dt"), F.lit(series).alias("series"),

@@ -13,7 +13,7 @@ from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
 from tidemart.session import scratch_dir
 from tidemart.sinks import keyed
-from tidemart.sources import decode, driver_tables as D, topics
+from tidemart.sources import archive, decode, driver_tables as D, topics
 from tidemart.streaming import jobs
 
 TOPIC_SQL = f"'DWD_' || upper(\"table\") || '_' || op || '_{I.SUFFIX}'"
@@ -36,6 +36,26 @@ def topic_source_from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.parse_change(topics.from_offsets(log, {0: 40, 1: 0})).select("seq", "type", "table")
 
 
+@query("topic_stream_from_offsets", with_views("""
+    select cast(id % 3 as integer) as partition, id // 3 as offset, type from change
+    where "table" = 'order_info' and (id % 3 = 0 and id // 3 >= 40 or id % 3 = 1 or id % 3 = 2 and id // 3 >= 100)"""))
+def topic_stream_from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three partitions again, as a stream. It starts when messages up to offset 99 are there, at 40, at 0, and behind
+    those of the partition without an offset; the second start is given other offsets and goes on from its checkpoint.
+    """
+    work = scratch_dir(spark, "archive")
+    row_id = F.get_json_object("value", "$.data.id").cast("bigint")
+    log = (D.change_log(spark, sf_dir).where(F.get_json_object("value", "$.table") == "order_info")
+           .select((row_id % 3).cast("int").alias("partition"), F.floor(row_id / 3).alias("offset"), "value"))
+    for part, offsets in (("offset < 100", {0: 40, 1: 0}), ("offset >= 100", {0: 0, 1: 1_000_000, 2: 0})):
+        archive.archive(log.where(part), f"{work}/topic")
+        stream = archive.archive_stream(spark, f"{work}/topic", offsets)
+        jobs.run_to_end(jobs.start(stream, lambda rows, n: rows.write.mode("append").parquet(f"{work}/out"),
+                                   f"{work}/checkpoint", every=None))
+    read = spark.read.schema(archive.SCHEMA).parquet(f"{work}/out")
+    return decode.parse_change(read).select("partition", "offset", "type")
+
+
 @query("quarantine_change", with_views(f"""
     select seq, reason from (select seq, {_CUT} reason from change) where reason is not null"""))
 def quarantine_change(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,10 +210,13 @@ def dau_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dau_by_hour(I.first_seen(spark, sf_dir))
 
 
-@query("dau_realtime", with_views(f"""
+REALTIME_SQL = f"""
     select dt, 'total' series, null hr, count(*) n from first_page group by dt
     union all select dt, 'today', hr, count(*) from first_page group by dt, hr
-    union all select strftime(cast(dt as date) + 1, '%Y-%m-%d'), 'yesterday', hr, n from ({_BY_HOUR})"""))
+    union all select strftime(cast(dt as date) + 1, '%Y-%m-%d'), 'yesterday', hr, n from ({_BY_HOUR})"""
+
+
+@query("dau_realtime", with_views(REALTIME_SQL))
 def dau_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dau_realtime(I.first_seen(spark, sf_dir))
 

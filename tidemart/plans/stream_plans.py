@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart import schemas as S
-from tidemart.functions.scalars import record_to_json, ts_to_dt
-from tidemart.operators import dedup, orders
+from tidemart.functions.scalars import HOUR_MS, record_to_json, ts_to_dt
+from tidemart.operators import dedup, device_state, reports, visitor_sets
 from tidemart.plans import inputs as I
 from tidemart.plans.change_plans import TOPIC_SQL
+from tidemart.plans.log_plans import REALTIME_SQL
 from tidemart.plans.order_plans import UNMATCHED_SQL, WIDE_SQL
 from tidemart.plans.registry import query
+from tidemart.plans.traffic_plans import STEPS
 from tidemart.plans.views_sql import with_views
-from tidemart.session import scratch_dir
+from tidemart.session import ROCKSDB, scratch_dir, settings
 from tidemart.sinks import keyed
 from tidemart.sinks.topics import file_sink
 from tidemart.sources import decode, driver_tables as D, topics
-from tidemart.streaming import jobs
+from tidemart.streaming import accounts, jobs
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 _HEADER_TOPIC, _LINE_TOPIC = f"DWD_ORDER_INFO_I_{I.SUFFIX}", f"DWD_ORDER_DETAIL_I_{I.SUFFIX}"
@@ -28,8 +32,11 @@ BATCHES = 5
 
 
 def _run_to_files(stream: DataFrame, work: str) -> int:
-    return jobs.run_to_end(stream.writeStream.format("parquet").option("path", f"{work}/out")
-                           .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    accounts.keep(stream.sparkSession)
+    with settings(stream.sparkSession, ROCKSDB):
+        query = (stream.writeStream.format("parquet").option("path", f"{work}/out")
+                 .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    return jobs.run_to_end(query)
 
 
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +91,100 @@ def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("mid", "dt").agg(F.count("*").alias("n"))
 
 
+#: A device of ``state_renewed`` is forgotten when it has no page for so long.
+_LIFE_MS = 2 * HOUR_MS
+
+
+def _replay_in_turn(spark: SparkSession, sf_dir: str, work: str, run) -> int:
+    """Pages come in ``BATCHES`` parts, in the order of their time, each followed by a start of the job; its batches."""
+    page = I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG))
+    first, last = page.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) // BATCHES + 1
+    batches = 0
+    for number in range(BATCHES):
+        part = page.where(F.col("ts").between(first + number * step, first + (number + 1) * step - 1))
+        _send(part, "pages", f"{work}/topics", number)
+        batches += run(decode.parse_typed(topics.file_topic(spark, f"{work}/topics/topic=pages/batch_id=*"),
+                                          S.PAGE_LOG, S.REQUIRED["page"]))
+    return batches
+
+
+@query("state_renewed", with_views(f"""
+    select mid, dt, count(*) n
+    from (select mid, dt, ts - lag(ts) over (partition by mid, dt order by ts) gap from day_page where last_page_id is null)
+    where gap is null or gap >= {_LIFE_MS} group by mid, dt"""))
+def state_renewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a device is new on a day if it is forgotten after two hours without a page. It stays known as
+    long as it is used; arrival is the pages' own time, and the job is started anew for each part of it.
+    """
+    work = scratch_dir(spark, "renewed")
+
+    def run(pages: DataFrame) -> int:
+        first = device_state.dau_renewed_stream(dedup.session_first_page(pages), _LIFE_MS,
+                                                at=F.timestamp_millis("ts"))
+        return _run_to_files(first.select("mid", ts_to_dt(F.col("ts")).alias("dt")), work)
+    assert _replay_in_turn(spark, sf_dir, work, run) >= BATCHES
+    out = spark.read.schema("mid STRING, dt STRING").parquet(f"{work}/out")
+    return out.groupBy("mid", "dt").agg(F.count("*").alias("n"))
+
+
+@query("dau_live", with_views(REALTIME_SQL))
+def dau_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dau_realtime`` from counts that two streams keep up, pages coming in any order; no device is read for it."""
+    work = scratch_dir(spark, "live")
+    _send(I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics")
+    for name, wanted in (("changes", BATCHES), ("counts", 1)):
+        query = (jobs.hour_changes_job(_pages(spark, work), f"{work}/changes", f"{work}/changes-checkpoint", every=None)
+                 if name == "changes" else
+                 jobs.hour_counts_job(spark, f"{work}/changes", f"{work}/counts", f"{work}/counts-checkpoint", every=None))
+        assert jobs.run_to_end(query) >= wanted
+    return reports.realtime_of_hours(jobs.read_hours(spark, f"{work}/counts"))
+
+
+_RANGES = (1, 7, 30)
+_IN_RANGE = ("cast(dt as date) > (select max(cast(dt as date)) from day_page) - {days} "
+             "and cast(dt as date) <= (select max(cast(dt as date)) from day_page)")
+
+
+def _stored_visitors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Sets and views of the days, stored by a job that takes the pages in several batches; the last day."""
+    work = scratch_dir(spark, "visitors")
+    _send(I.pages(spark, sf_dir).select(*S.names(S.PAGE_LOG)), "pages", f"{work}/topics")
+    sets = visitor_sets.visit_sets(STEPS)
+    assert jobs.run_to_end(jobs.visitor_sets_job(_pages(spark, work), f"{work}/visitors", f"{work}/checkpoint", sets,
+                                                 every=None)) >= BATCHES
+    views = visitor_sets.stored_views(spark, f"{work}/visitors")
+    return visitor_sets.stored_sets(spark, f"{work}/visitors"), views, views.agg(F.max("dt")).first()[0]
+
+
+def _each_range(answer) -> DataFrame:
+    return reduce(DataFrame.union, (answer(days).withColumn("days", F.lit(days)) for days in _RANGES))
+
+
+@query("uv_by_day_stored", with_views("select dt, count(distinct mid) uv from day_page group by dt"))
+def uv_by_day_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visitor_sets.uv_by_day(_stored_visitors(spark, sf_dir)[0])
+
+
+@query("visit_total_ranges", with_views(" union all ".join(f"""
+    select {days} as days, count(*) pv_count, count(distinct mid) uv_count,
+           count(distinct case when is_new = '1' then mid end) new_count
+    from day_page where {_IN_RANGE.format(days=days)}""" for days in _RANGES)))
+def visit_total_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1, 7 and 30 days from the days' bitmaps; pages are not read again."""
+    sets, views, until = _stored_visitors(spark, sf_dir)
+    return _each_range(lambda days: visitor_sets.visit_total(sets, views, until, days))
+
+
+@query("action_funnel_ranges", with_views(" union all ".join(
+    f"select {days} as days, {i} pos, '{step}' step, count(distinct user_id) users from day_page "
+    f"where page_id = '{page}' and {_IN_RANGE.format(days=days)}"
+    for days in _RANGES for i, (step, page) in enumerate(STEPS.items()))))
+def action_funnel_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets, _, until = _stored_visitors(spark, sf_dir)
+    return _each_range(lambda days: visitor_sets.action_funnel(sets, STEPS, until, days))
+
+
 def _messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value STRING, topic STRING, batch_id BIGINT").text(path)
 
@@ -183,10 +284,10 @@ def _order_topics(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]
             decode.parse_typed(_topic(spark, f"{work}/topics", _LINE_TOPIC), S.ORDER_LINE, S.REQUIRED["line"]))
 
 
-def _run_orders(spark: SparkSession, work: str) -> int:
+def _run_orders(spark: SparkSession, work: str, **how) -> int:
     return jobs.run_to_end(jobs.order_job(*_order_topics(spark, work), f"{work}/dims", f"{work}/wide",
                                           f"{work}/checkpoint", I.as_of(),
-                                          partition=F.substring("create_date", 1, 7), every=None))
+                                          partition=F.substring("create_date", 1, 7), every=None, **how))
 
 
 def _stored_orders(spark: SparkSession, work: str) -> DataFrame:
@@ -236,8 +337,9 @@ def dual_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unmatched_orders_stream", UNMATCHED_SQL)
 def unmatched_orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers and lines that are still alone when nine days later one more of each comes."""
+    """Headers and lines that are still alone when nine days later one more of each comes; one job finds both."""
     work = scratch_dir(spark, "orphans")
+    _store_dims(spark, sf_dir, f"{work}/dims")
     stored = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
     now = {"header": I.inserted(spark, stored, "order_info", S.ORDER_HEADER),
            "line": I.inserted(spark, stored, "order_detail", S.ORDER_LINE)}
@@ -247,14 +349,9 @@ def unmatched_orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         _send(sent["header"], _HEADER_TOPIC, f"{work}/topics", number)
         _send(sent["line"], _LINE_TOPIC, f"{work}/topics", number)
         at = F.lit(f"2001-01-{day} 00:00:00").cast("timestamp")
-        headers, lines = _order_topics(spark, work)
-        alone = orders.unmatched_headers_stream(headers, lines, header_at=at, line_at=at, late="1 second")
-        _run_to_files(alone.select("id", F.col("id").alias("order_id")), f"{work}/headers")
-        joined = orders.join_order_streams(headers, lines, how="left_outer", header_at=at, line_at=at, late="1 second")
-        alone = joined.where("h_id IS NULL").select(F.col("d_id").alias("id"), F.col("d_order_id").alias("order_id"))
-        _run_to_files(alone, f"{work}/lines")
-
-    def found(side: str) -> DataFrame:
-        rows = spark.read.schema("id BIGINT, order_id BIGINT").parquet(f"{work}/{side}s/out")
-        return rows.select(F.lit(side).alias("side"), "id", "order_id")
-    return found("header").union(found("line"))
+        _run_orders(spark, work, line_orphans=f"{work}/lines", header_orphans=f"{work}/headers",
+                    header_at=at, line_at=at, late="1 second")
+    headers = keyed.read_latest(spark, f"{work}/headers", jobs.HEADER_ORPHANS, ["id"])
+    lines = keyed.read_latest(spark, f"{work}/lines", jobs.LINE_ORPHANS, ["id"])
+    return (headers.select(F.lit("header").alias("side"), "id", F.col("id").alias("order_id"))
+            .union(lines.select(F.lit("line").alias("side"), "id", "order_id")))
