@@ -13,6 +13,9 @@ from tidemart.session import scratch_dir
 DETAIL_FIELDS = ["create_time", "order_price", "province_name", "sku_name", "sku_num",
                  "total_amount", "user_age", "user_gender"]
 
+#: Pages that end within so many rows are found by an ordered limit.
+NEAR = 10_000
+
 
 def fetch_source(df: DataFrame, fields: list[str] = DETAIL_FIELDS) -> DataFrame:
     return df.select(*fields)
@@ -31,7 +34,7 @@ def top_rows(df: DataFrame, order: list[Column | str], start: int, size: int) ->
 
 
 def detail_page(order_wide: DataFrame, keyword: str, day: str | None = None,
-                page: int = 1, page_size: int = 20) -> DataFrame:
+                page: int = 1, page_size: int = 20, near: int = NEAR) -> DataFrame:
     """One page of the lines whose product name has all words of ``keyword``, with ``total``.
 
     Lines are in order of time and id, NULLs first; matched words are marked.
@@ -40,15 +43,28 @@ def detail_page(order_wide: DataFrame, keyword: str, day: str | None = None,
     if day is not None:
         hits = hits.where(F.col("create_date") == day)
     shown = page_rows(hits.select("detail_id", *DETAIL_FIELDS), ["create_time", "detail_id"],
-                      (page - 1) * page_size, page_size)
+                      (page - 1) * page_size, page_size, near)
     return shown.select(
         "detail_id", *(highlight(F.col(c), keyword).alias(c) if c == "sku_name" else c
                        for c in DETAIL_FIELDS),
         "total")
 
 
-def page_rows(hits: DataFrame, order: list[str], first: int, size: int) -> DataFrame:
-    """Rows ``first .. first+size-1`` in order, and how many rows there are (``total``); any page alike.
+def page_rows(hits: DataFrame, order: list[str], first: int, size: int, near: int = NEAR) -> DataFrame:
+    """Rows ``first .. first+size-1`` in order, and how many rows there are (``total``).
+
+    For a page that ends within the first ``near`` rows each task keeps that many, and nothing is written. A page
+    further down would make tasks keep ever more; it is found as ``far_rows`` says. Both give the same rows.
+    """
+    if first + size > near:
+        return far_rows(hits, order, first, size)
+    total = hits.agg(F.count("*")).scalar()
+    return (hits.withColumn("_tie", F.xxhash64(*hits.columns)).orderBy(*order, "_tie").offset(first).limit(size)
+            .select(*hits.columns, total.alias("total")))
+
+
+def far_rows(hits: DataFrame, order: list[str], first: int, size: int) -> DataFrame:
+    """``page_rows`` for any page alike.
 
     Rows are ranged by their order once and written with the number of their range; ranges are
     counted, and only those that reach into the page are numbered. Rows equal in order go by

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tidemart.operators import documents, orders, reports, search
 from tidemart.plans import inputs as I
 from tidemart.plans.registry import query
 from tidemart.plans.views_sql import age, change_kind, has_word, with_views
+from tidemart.session import scratch_dir
+from tidemart.sinks import bucketed
 from tidemart.sources import driver_tables as D, tables
 
 KEYWORD = "Red ring"
@@ -94,6 +98,13 @@ def order_wide_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.result(I.order_wide(spark, sf_dir))
 
 
+@query("order_wide_bucketed", with_views(WIDE_SQL))
+def order_wide_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tables stored in buckets by order; the join moves neither."""
+    stored = bucketed.store(I.headers(spark, sf_dir), D.order_detail(spark, sf_dir), scratch_dir(spark, "bucketed"), 16)
+    return I.result(stored.wide())
+
+
 @query("merge_order_wide", with_views("""
     select d.id detail_id, h.id order_id, d.create_time, h.create_time header_time, h.create_date
     from order_detail d join header h on d.order_id = h.id"""))
@@ -176,8 +187,8 @@ def detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detail_page_far", _PAGE_2.replace("limit 20 offset 20", "limit 2 offset 24"))
 def detail_page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page far down; it costs what the second one does."""
-    return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=13, page_size=2))
+    """A page found as those far down are; it costs what the first one would."""
+    return I.result(search.detail_page(I.order_wide(spark, sf_dir), KEYWORD, page=13, page_size=2, near=0))
 
 
 @query("total_hits", with_views(f"select count(*) total from order_detail where {_ALL_WORDS}"))
@@ -250,6 +261,22 @@ def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.get_by_id(D.movie(spark, sf_dir), 42).select("id", "name", "score")
 
 
+@query("get_by_id_stored", with_views("select id, name, score from movie where id in (42, 4242, 142)"))
+def get_by_id_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a table in 64 ranges of the id, of which a look-up reads one."""
+    path = scratch_dir(spark, "by-id")
+    tables.write_by_key(D.movie(spark, sf_dir).select("id", "name", "score"), path, "id", 64)
+    stored = spark.read.parquet(path)
+    return reduce(DataFrame.union, (tables.get_by_id(stored, i) for i in (42, 142, 4242)))
+
+
+@query("term_filter_stored", with_views("select id, name, score from movie where name = 'red ring'"))
+def term_filter_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "by-name")
+    tables.write_by_key(D.movie(spark, sf_dir).select("id", "name", "score"), path, "name", 64)
+    return spark.read.parquet(path).where(documents.term("name", "red ring"))
+
+
 _ACTORS = """select name, count(*) doc_count,
     cast(sum(cast(score as decimal(18,6))) as double) / count(*) avg_score
     from (select score, unnest(list_distinct(actors)) as name from movie) group by name"""

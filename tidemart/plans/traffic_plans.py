@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.operators import traffic
+from tidemart.functions import scalars
+from tidemart.operators import heavy_hitters, traffic
 from tidemart.plans import inputs as I
 from tidemart.plans.registry import query
 from tidemart.plans.views_sql import with_views
+from tidemart.session import scratch_dir
 from tidemart.sources import driver_tables as D
 
 STEPS = {"home": "p0", "detail": "p1", "cart": "p2", "order": "p3", "payment": "p4"}
@@ -134,6 +136,16 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.top_products(D.order_detail(spark, sf_dir))
 
 
+@query("top_products_sketched", with_views("""
+    select sku_name as name, count(*) as value from order_detail group by 1 order by value desc, name limit 7"""))
+def top_products_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' stored sketches name the products that are counted."""
+    path = scratch_dir(spark, "sketches")
+    lines = D.order_detail(spark, sf_dir).withColumn("dt", scalars.create_date(F.col("create_time")))
+    heavy_hitters.day_sketches(lines, "dt", "sku_name", 256).write.parquet(path)
+    return heavy_hitters.top_values(lines, spark.read.parquet(path), "sku_name", 7, 256)
+
+
 @query("top_brands", with_views("""
     select brand as name, count(*) as value from order_detail d join sku_info s on d.sku_id = s.id
     group by 1 order by value desc, name limit 7"""))

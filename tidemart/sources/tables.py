@@ -29,3 +29,15 @@ def read_field(df: DataFrame, field: str, day: str | None = None) -> DataFrame:
 
 def get_by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
     return df.where(F.col(key) == value)
+
+
+def write_by_key(df: DataFrame, path: str, key: str, files: int, values: int | None = None) -> None:
+    """A table for look-ups by ``key``: files hold ranges of it, sorted, with a Bloom filter of its values in each row group.
+
+    A look-up reads the row groups whose range has the key, and of these those whose filter does not rule it out; others
+    are passed over by their footers. ``values`` is about how many values a row group has.
+    """
+    writer = df.repartitionByRange(files, key).sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    if values:
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", str(values))
+    writer.parquet(path)
