@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Encoded chunks that a worker remembers before it begins anew.
-MEMORY = 200_000
+#: Encoded chunks that a worker remembers before it begins anew, and characters by which arcs are remembered.
+MEMORY, _START = 500_000, 4
 # Kinds of pieces and of models in the public model format.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
@@ -93,16 +93,25 @@ class PieceModel:
         self.unknown_weight = 10.0 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         if self.kind == _BPE:
             self._compile_merges()
-        self.root: dict = {}
+        # A node of the arcs' tree: what follows by character, and the piece that ends there.
+        self.root: dict[str, list] = {}
         for piece in self.tree if self.kind == _BPE else self.ids:
-            node = self.root
+            following = self.root
             for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = piece
+                node = following.setdefault(char, [{}, None])
+                following = node[0]
+            node[1] = piece
+        #: Bytes that a piece stands for, by id.
+        self.spelt = [b"" if i in self.silent else p.encode() for i, p in enumerate(self.pieces)]
+        for i, byte in self.byte_of.items():
+            self.spelt[i] = bytes([byte])
+        self.spelt[self.unknown] = " ⁇ ".encode()
         # Chunks met since the last turn, and those of the turn before: frequent ones stay.
         self._seen: dict[str, tuple[int, ...]] = {}
         self._before: dict[str, tuple[int, ...]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
+        # Arcs at a place by the characters there.
+        self._starts: dict[str, tuple[tuple[str, ...], dict | None]] = {}
 
     def _compile_merges(self) -> None:
         """For every piece the symbols at its edges, each with the rank of the merge that ends it.
@@ -113,6 +122,7 @@ class PieceModel:
         ranks = Counter(self.rank.values())
         last = max(ranks, default=0.0)
         self.late = {p for p, r in self.rank.items() if len(p) > 1 and r == last and ranks[last] > 1}
+        self.late_starts = {p[:2] for p in self.late}
         self.tree: dict[str, tuple[str, str] | None] = {p: None for p in self.ids if len(p) == 1}
         for piece in self.ids:
             if len(piece) > 1 and piece not in self.late:
@@ -146,38 +156,57 @@ class PieceModel:
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether merging leaves these two neighbours as they are."""
-        known = self._apart.get((left, right))
-        if known is None:
-            known = True
-            for a, a_until in self.right_edge.get(left, ((left, math.inf),)):
-                for b, b_until in self.left_edge.get(right, ((right, math.inf),)):
-                    both = a + b
-                    rank = self.rank.get(both)
-                    # At one rank the merge further left comes first.
-                    if rank is not None and rank < a_until and rank <= b_until and both not in self.late:
-                        known = False
-                        break
-                if not known:
+        apart = True
+        for a, a_until in self.right_edge.get(left, ((left, math.inf),)):
+            for b, b_until in self.left_edge.get(right, ((right, math.inf),)):
+                both = a + b
+                rank = self.rank.get(both)
+                # At one rank the merge further left comes first.
+                if rank is not None and rank < a_until and rank <= b_until and both not in self.late:
+                    apart = False
                     break
-            if len(self._apart) >= 4 * MEMORY:
-                self._apart.clear()
-            self._apart[left, right] = known
-        return known
-
-    def _arcs(self, chunk: str, at: int) -> list[str]:
-        """Pieces that begin at a place, the longest last; a character without a piece stands for itself."""
-        found, node, end = [], self.root, at
-        while end < len(chunk):
-            node = node.get(chunk[end])
+            if not apart:
+                break
+        if len(self._apart) >= 4 * MEMORY:
+            self._apart.clear()
+        self._apart[left, right] = apart
+        return apart
+
+    def _arcs(self, chunk: str, at: int) -> tuple[str, ...]:
+        """Pieces that begin at a place, the longest first; a character without a piece stands for itself."""
+        start = chunk[at:at + _START]
+        known = self._starts.get(start)
+        if known is None:
+            if len(self._starts) >= MEMORY:
+                self._starts.clear()
+            known = self._starts[start] = self._begun(start)
+        found, following = known
+        if not following or len(chunk) <= at + _START:
+            return found
+        longer = []
+        for char in chunk[at + _START:]:
+            node = following.get(char)
             if node is None:
                 break
-            end += 1
-            piece = node.get("")
+            following, piece = node
+            if piece is not None:
+                longer.append(piece)
+        return (*longer[::-1], *found) if longer else found
+
+    def _begun(self, start: str) -> tuple[tuple[str, ...], dict | None]:
+        """The pieces that ``start`` has at its beginning, and the arcs that lead on from its end if any do."""
+        found, following = [], self.root
+        for char in start:
+            node = following.get(char)
+            if node is None:
+                following = None
+                break
+            following, piece = node
             if piece is not None:
                 found.append(piece)
         if not found or len(found[0]) > 1:
-            found.insert(0, chunk[at])
-        return found
+            found.insert(0, start[0])
+        return tuple(found[::-1]), following
 
     def _least_path(self, chunk: str) -> list[str]:
         """The path of least weight when every piece has one of its own."""
@@ -204,24 +233,29 @@ class PieceModel:
         that leads nowhere is left out from then on.
         """
         path: list[str] = []
-        waiting: list[list[str]] = []
-        at, size, nowhere = 0, len(chunk), set()
-        arcs = self._arcs(chunk, 0)
+        waiting: list[Iterator[str]] = []
+        at, size, nowhere, known = 0, len(chunk), set(), self._apart
+        arcs = iter(self._arcs(chunk, 0))
         while at < size:
-            while arcs:
-                piece = arcs.pop()
+            for piece in arcs:
                 end = at + len(piece)
-                if end not in nowhere and (not path or self.stay_apart(path[-1], piece)):
-                    path.append(piece)
-                    waiting.append(arcs)
-                    at = end
-                    arcs = self._arcs(chunk, at) if at < size else []
-                    break
+                if end in nowhere:
+                    continue
+                if path:
+                    apart = known.get((path[-1], piece))
+                    if apart is False or apart is None and not self.stay_apart(path[-1], piece):
+                        continue
+                path.append(piece)
+                waiting.append(arcs)
+                at = end
+                if at < size:
+                    arcs = iter(self._arcs(chunk, at))
+                break
             else:
                 nowhere.add(at)
                 at -= len(path.pop())
                 arcs = waiting.pop()
-        return self._join_late(path) if self.late else path
+        return self._join_late(path) if any(map(chunk.__contains__, self.late_starts)) else path
 
     def _join_late(self, path: list[str]) -> list[str]:
         joined: list[str] = []
@@ -252,31 +286,22 @@ class PieceModel:
         if self.prefix:
             text = SPACE + text
         ids: list[int] = []
-        seen = self._seen
-        for found in self.chunk.finditer(text):
-            chunk = found[0]
-            known = seen.get(chunk)
-            if known is None:
-                known = self._before.get(chunk) or self._chunk_ids(chunk)
-                if len(chunk) <= 64:
-                    if len(seen) >= MEMORY:
-                        self._before, self._seen = seen, {}
-                        seen = self._seen
-                    seen[chunk] = known
-            ids.extend(known)
+        for chunk in self.chunk.findall(text):
+            known = self._seen.get(chunk)
+            ids.extend(self._remembered(chunk) if known is None else known)
         return ids
 
+    def _remembered(self, chunk: str) -> tuple[int, ...]:
+        known = self._before.get(chunk) or self._chunk_ids(chunk)
+        if len(chunk) <= 64:
+            if len(self._seen) >= MEMORY:
+                self._before, self._seen = self._seen, {}
+            self._seen[chunk] = known
+        return known
+
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                out.append(byte)
-            elif i not in self.silent:
-                out += self.pieces[i].encode()
-            elif i == self.unknown:
-                out += " ⁇ ".encode()
-        text = out.decode(errors="replace").replace(SPACE, " ")
+        spelt = self.spelt
+        text = b"".join([spelt[i] for i in ids]).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
