@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidemart.llm import shingle_join, simhash
 
 
@@ -81,3 +83,16 @@ def test_crowded_lists(spark, monkeypatch):
         monkeypatch.setattr(shingle_join, "SAMPLE", sample)
         kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
         assert kept == sorted({find(i) for i in range(len(texts))})
+
+
+def test_parities_bound_pairs_of_any_size():
+    """No pair that is alike is lost, also of sets whose parities differ in number; sets that share little go."""
+    random_ = np.random.default_rng(4)
+    for n, least in ((10, 8), (2049, 1640), (3000, 2400), (9000, 7500), (40_000, 32_000)):
+        a = np.unique(random_.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.sort(random_.choice(a, least, replace=False))  # of similarity 0.8 or just above
+        c = np.unique(np.concatenate([a[:n // 20], random_.integers(0, 1 << 64, n, dtype=np.uint64)]))
+        odd = [shingle_join.parities(s) for s in (a, b, c)]
+        assert shingle_join.alike(a, b) and 9 * shingle_join._apart(odd[0], odd[1]) <= len(a) + len(b)
+        assert shingle_join._apart(odd[1], odd[0]) == shingle_join._apart(odd[0], odd[1])
+        assert not shingle_join.alike(a, c) and 9 * shingle_join._apart(odd[0], odd[2]) > len(a) + len(c)
