@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Encoded chunks that a worker remembers before it begins anew, and characters by which arcs are remembered.
-MEMORY, _START = 500_000, 4
+MEMORY, _START = 250_000, 4
 # Kinds of pieces and of models in the public model format.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
