@@ -3,14 +3,20 @@
 Documents that share a link (here: an equal text) are neighbours. Linked documents begin in link
 order, so that most links already lie in one shard; then, round by round, the documents of a link
 move to the shard where most of their neighbours are, as far as that shard has room. Documents
-without neighbours, whose place cuts nothing, fill the shards up to counts at most one apart.
+without neighbours, whose place cuts nothing, fill what is left. How many rows a shard is to have is
+settled first, and neither the labels at the start nor a move goes beyond it, so counts are at most one
+apart also where every document has neighbours.
 
 A link may hold a third of all rows. Numbers inside a link or shard are given bucket by bucket, with
-offsets from the buckets' counts, so no link and no shard ever meets in one task.
+offsets from the buckets' counts, so no link and no shard ever meets in one task. What does meet in one are
+the counts of the buckets, a number for each 20,000 rows.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +51,11 @@ def _link_starts(links: DataFrame, buckets: int) -> DataFrame:
         "link", "size", (F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
 
 
+def _shard_at(sizes: list[int], place: Column) -> Column:
+    """The shard that has a place (from 0) when shards of these sizes are laid one after the other."""
+    return F.size(F.filter(F.array(*map(F.lit, accumulate(sizes))), lambda end: end <= place))
+
+
 def _lookup(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
@@ -66,17 +77,18 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     order = ["link", "doc_id", "_row"]
     links = stored(base.groupBy("link").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "links")
     n_linked = links.agg(F.sum("size")).first()[0] or 0
-    floor = n // shards
-    first_fill = max(1, int(FIRST_FILL * floor), -(-n_linked // shards))
+    quota = [n // shards + (s < n % shards) for s in range(shards)]
+    part = max(FIRST_FILL, n_linked / max(1, n))
+    first_fill = [min(q, math.ceil(part * q)) for q in quota]
 
     linked = numbered(base.join(links.select("link"), "link"), ["link"], ["doc_id", "_row"], buckets, "_rank")
     state = stored(linked.join(_link_starts(links, buckets), "link").select(
-        "_row", "link", F.floor((F.col("start") + F.col("_rank")) / first_fill).cast("int").alias("shard")), "labels")
+        "_row", "link", _shard_at(first_fill, F.col("start") + F.col("_rank")).alias("shard")), "labels")
 
     for _ in range(rounds):
         counts = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         taken = {r.shard: r.n for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        room = [max(0, floor - taken.get(s, 0)) for s in range(shards)]
+        room = [q - taken.get(s, 0) for s, q in enumerate(quota)]
         target = counts.groupBy("link").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("to"),
                                             F.count(F.lit(1)).alias("parts")).where("parts > 1")
         asking = numbered(state.join(target, "link").where("shard <> to"), ["to"], ["link", "_row"], buckets, "_turn")
@@ -87,13 +99,9 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             "_row", "link", F.coalesce("to", "shard").alias("shard")), "labels")
 
     taken = {r.shard: r.n for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    ends, end = [], 0
-    for s in range(shards):
-        end += floor + (s < n % shards) - taken.get(s, 0)
-        ends.append(end)
     free = base.join(links.select("link"), "link", "left_anti").withColumn("_all", F.lit(0))
-    filled = numbered(free, ["_all"], order, buckets, "_turn").withColumn(
-        "shard", F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e <= F.col("_turn"))))
+    left = [q - taken.get(s, 0) for s, q in enumerate(quota)]
+    filled = numbered(free, ["_all"], order, buckets, "_turn").withColumn("shard", _shard_at(left, F.col("_turn")))
     placed = filled.select("doc_id", "size", "text_crc32", "_row", "shard").union(
         base.join(state.select("_row", "shard"), "_row").select("doc_id", "size", "text_crc32", "_row", "shard"))
     return numbered(placed, ["shard"], ["doc_id", "_row"], max(1, buckets // shards), "slot").select(
