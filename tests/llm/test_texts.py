@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -208,3 +209,47 @@ def test_pages(spark, sf):
     odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>" + "word " * 100_000)],
                                 "page_id BIGINT, url STRING, html STRING")
     assert sorted(r.n_chars for r in html_text.extract_pages(odd).collect()) == [0, 0, 499_999]
+
+
+ARTICLE = "A paragraph of the article that is long enough to be the main text of a page."
+
+
+def test_names_that_only_sound_like_clutter():
+    for kind in ("class='share-price'", "class='navy'", "class='related-work'", "class='promotion-rules'", "id='side-effects'"):
+        page = f"<article><p>{ARTICLE}</p><div {kind}><p>One more paragraph of it.</p></div></article>"
+        assert html_text.extract(page) == f"{ARTICLE}\n\nOne more paragraph of it.", kind
+    for kind in ("share-buttons", "site-nav", "mainNav", "cookie_banner", "related-posts", "comment-list", "ad-slot-2", "newsletterSignup"):
+        page = f"<article><p>{ARTICLE}</p><div class='{kind}'><p>Something else that is long enough to be a text of its own.</p></div></article>"
+        assert html_text.extract(page) == ARTICLE, kind
+
+
+def test_short_lines_around_an_unmarked_text():
+    page = (f"<div>Site title</div><div>Today is Monday</div><div>Log in or register</div><p>{ARTICLE}</p><h2>Why</h2><p>It is so.</p>"
+            f"<p>{ARTICLE}</p><div class=c2><p>Top ten</p><p>Latest</p></div><div>Copyright 2020</div><div>All rights reserved</div>"
+            "<div>Powered by X</div>")
+    assert html_text.extract(page).split("\n\n") == [ARTICLE, "Why", "It is so.", ARTICLE]
+    assert html_text.extract("<div>Menu</div><h1>Title</h1><p>" + ARTICLE).split("\n\n") == ["Title", ARTICLE]
+    assert html_text.extract("<p>Hello world</p>") == "Hello world"
+    assert html_text.extract("<p>Hello") == "Hello"
+
+
+def test_teasers_beside_the_article():
+    page = f"<article class=teaser><p>{ARTICLE} More.</p></article><article><p>{ARTICLE}</p></article>"
+    assert html_text.extract(page) == ARTICLE
+    assert html_text.extract(f"<article class=teaser><p>{ARTICLE}</p></article>") == ARTICLE
+
+
+@pytest.mark.parametrize("part", ["<div class=nav><p>text of it", "<svg><p>text of it", "<p class=\"x>text", "<b><div class=menu>", "</i><a href='",
+                                  "<ul><li>item", "<article><p>text", "<!-"])
+def test_a_large_page_takes_time_in_proportion(part):
+    began = time.process_time()
+    html_text.extract(part * ((1 << 20) // len(part)) + ">")
+    assert time.process_time() - began < 25  # a few seconds on a fast machine; hours if every tag looked at all the others
+
+
+def test_pages_of_odd_tables(spark):
+    odd = spark.createDataFrame([(1, "u", f"<p>{ARTICLE}", 5, "t")] * 2 + [(None, None, None, 1, None)],
+                                "page_id BIGINT, url STRING, html STRING, n_chars INT, text STRING")
+    got = sorted(((r.page_id, r.text) for r in html_text.extract_pages(odd).collect()), key=str)
+    assert got == [(1, ARTICLE), (1, ARTICLE), (None, "")]
+    assert html_text.extract_pages(odd.limit(0)).count() == 0

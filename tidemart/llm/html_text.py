@@ -4,8 +4,10 @@ A page is stripped to lines, one for each block of its layout; what lies inside
 footers, sidebars, forms, adverts, notices or comment sections is marked as set aside while
 stripping and counts as lines without text, as do lists of links. Lengths are summed over a sliding
 window of lines. Where the sum surges, the main text begins; where it dives to nothing, it ends; what
-lies between is kept. An article or main element bounds where this is looked for. Elements that would
-set aside the bulk of a page are no clutter; see ``_wrappers``.
+lies between is kept. An article or main element bounds where this is looked for. On a page without one, short
+lines that are no sentence, as they stand above and below a text, are no part of it: a run of lines is kept from
+its first to its last line that is long, a sentence or a heading before one. Elements that would set aside the
+bulk of a page are no clutter; see ``_wrappers``. Time and memory are in proportion to the page.
 """
 
 from __future__ import annotations
@@ -32,14 +34,26 @@ _ASIDE = frozenset("nav header footer aside form menu dialog button head fieldse
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert "
                          "alertdialog note tablist toolbar".split())
-#: Parts of class names and ids that mark what is not the article.
-_ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|"
-    r"masthead|comments?|commentlist|disqus\w*|respond|replies|reply|cookies?\w*|consent\w*|notices?|gdpr|popup|modal|"
-    r"overlay|newsletter|subscribe|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widgets?|pagination|"
-    r"pager|toolbar|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.IGNORECASE)
+#: Words of class names and ids that mark what is not the article, and others that may stand beside them in a name: a
+#: name such as ``share-price``, with a word of neither kind, marks nothing.
+_ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion
+    promotions banner banners nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar sidebars side footer
+    header masthead comment comments commentlist disqus respond replies reply cookie cookies consent notice notices gdpr
+    popup popups modal overlay newsletter subscribe signup login share sharing social related recommend recommended
+    recommendation recommendations widget widgets pagination pager toolbar skip copyright legal disclaimer alert teaser
+    teasers""".split())
+_BESIDE_WORDS = frozenset("""site page main top bottom left right center upper lower primary secondary global mobile desktop
+    sticky fixed floating box boxes bar bars block blocks container wrapper wrap section area region panel group grid row
+    column col list item items link links button buttons btn icon icons inner outer content body form field title heading
+    label text slot unit zone space frame post posts article articles story stories thread count user users my the a b c
+    small large big new our all media network networks policy message messages overlay close open toggle dropdown js is
+    dark light sm md lg xl""".split())
+_TEASER_WORDS = frozenset("teaser teasers related promo promos sponsored recommended advert ad".split())
 #: Class names that tell of the layout around an element, not what is in it.
 _LAYOUT_NAME = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]|[_-](?:layout|page|wrapper|container|grid|body)$", re.IGNORECASE)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: A line that ends like this, marks after it aside, is a sentence.
+_SENTENCE = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -62,17 +76,29 @@ def _hidden(own: dict[str, str], attributes: str) -> bool:
 
 class Line(NamedTuple):
     text: str
-    asides: tuple[int, ...]  # numbers of the open elements that set it aside
+    aside: int  # number of the innermost open element that sets it aside, -1 if none does
     inside: bool  # of an article or main element
     heading: bool
     links: int  # code points of link text
 
 
 class Aside:
-    """An element that is set aside: for certain or not, and the articles and mains in it."""
+    """An element that is set aside: for certain or not, the one around it (-1 if none), and the articles and mains in it."""
 
-    def __init__(self, tag: str, certain: bool) -> None:
-        self.tag, self.certain, self.articles, self.mains = tag, certain, 0, 0
+    def __init__(self, tag: str, certain: bool, around: int) -> None:
+        self.tag, self.certain, self.around, self.articles, self.mains = tag, certain, around, 0, 0
+
+
+def _named_aside(names: str, in_article: bool) -> bool:
+    """Whether one of the names is made of words that mark clutter, and of nothing that says otherwise."""
+    for name in names.split():
+        if _LAYOUT_NAME.search(name) or _MAIN_NAME.search(name):
+            continue
+        words = [w.lower() for w in _WORDS.findall(name)]
+        marks = [w for w in words if w in _ASIDE_WORDS and not (in_article and w == "header")]
+        if marks and all(w in _ASIDE_WORDS or w in _BESIDE_WORDS or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def _set_aside(tag: str, attributes: str, in_article: bool) -> int:
@@ -88,20 +114,20 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> int:
     own = _attributes(attributes)
     if _hidden(own, attributes) or own.get("role", "").lower() in _ASIDE_ROLES:
         return 2
-    if tag in ("article", "main", "body", "html"):
-        return 0
     names = own.get("class", "") + " " + own.get("id", "")
-    if in_article:  # a header there may hold the heading
-        names = re.sub(r"\bheader\b", " ", names, flags=re.IGNORECASE)
-    names = " ".join(name for name in names.split() if not _LAYOUT_NAME.search(name))
-    return int(bool(_ASIDE_NAME.search(names)) and not _MAIN_NAME.search(names))
+    if tag == "article":  # one of several that only point to others
+        return int(any(w.lower() in _TEASER_WORDS for w in _WORDS.findall(names)))
+    if tag in ("main", "body", "html"):
+        return 0
+    return int(_named_aside(names, in_article))
 
 
 def lines_of(page: str) -> tuple[list[Line], list[Aside]]:
     """The page's blocks in order, and the elements that set text aside."""
     lines: list[Line] = []
     asides: list[Aside] = []
-    within: list[int] = []  # numbers of those that are open
+    within: list[int] = [-1]  # numbers of those that are open
+    endless: set[str] = set()  # raw elements that no tag closes from here on
     parts: list[str] = []
     link_parts: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # element, set aside, article
@@ -114,7 +140,7 @@ def lines_of(page: str) -> tuple[list[Line], list[Aside]]:
         parts.clear()
         if text:
             links = len(_SPACES.sub(" ", html.unescape("".join(link_parts))).strip())
-            lines.append(Line(text, tuple(within), article > 0, any(names[h] for h in _HEADINGS), links))
+            lines.append(Line(text, within[-1], article > 0, any(names[h] for h in _HEADINGS), links))
         link_parts.clear()
 
     def close(n: int) -> None:
@@ -149,9 +175,11 @@ def lines_of(page: str) -> tuple[list[Line], list[Aside]]:
                 parts.append(html.escape(token[0][9:-3]))
             continue
         if tag in _RAW and not token[1]:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+            stop = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
             if stop or tag in _RAW_ONLY:
                 at = stop.end() if stop else end
+            else:
+                endless.add(tag)
             continue
         if tag == "br":
             parts.append(" ")
@@ -171,17 +199,20 @@ def lines_of(page: str) -> tuple[list[Line], list[Aside]]:
                         close(len(open_) - 1)
             apart = _set_aside(tag, token[3], article > 0)
             own = tag in ("article", "main")
-            if own:
-                for k in within:
-                    asides[k].articles += tag == "article"
-                    asides[k].mains += tag == "main"
+            if own and within[-1] >= 0:
+                asides[within[-1]].articles += tag == "article"
+                asides[within[-1]].mains += tag == "main"
             open_.append((tag, apart > 0, own))
             names[tag] += 1
             if apart:
-                within.append(len(asides))
-                asides.append(Aside(tag, apart == 2))
+                asides.append(Aside(tag, apart == 2, within[-1]))
+                within.append(len(asides) - 1)
             article += own
     flush()
+    for aside in reversed(asides):  # those inside come after those around them
+        if aside.around >= 0:
+            asides[aside.around].articles += aside.articles
+            asides[aside.around].mains += aside.mains
     return lines, asides
 
 
@@ -190,22 +221,43 @@ def _wrappers(lines: list[Line], asides: list[Aside]) -> set[int]:
 
     A page with an article outside of such elements has none.
     """
-    weight: Counter[int] = Counter()
+    weight = [0] * len(asides)
     total = 0
     for line in lines:
-        if line.inside and not line.asides:
+        if line.inside and line.aside < 0:
             return set()
         own = max(len(line.text) - line.links, 0)
         total += own
-        for k in line.asides:
-            weight[k] += own
+        if line.aside >= 0:
+            weight[line.aside] += own
+    for k in range(len(asides) - 1, -1, -1):
+        if asides[k].around >= 0:
+            weight[asides[k].around] += weight[k]
     return {k for k, aside in enumerate(asides) if not aside.certain and 2 * weight[k] > total
             and (aside.tag in ("form", "fieldset") or aside.mains or aside.articles == 1)}
 
 
-def _dense(lines: list[Line], free: set[int]) -> list[str]:
+def _text_of(run: list[tuple[Line, int]]) -> list[str]:
+    """The lines of a run on a page without an article: from the first to the last that is long, a sentence, or a heading
+    with such a line after it. A run without such lines is short as a whole.
+    """
+    full = [line for line, length in run if length]
+    thick = [len(line.text) - line.links >= SURGE or bool(_SENTENCE.search(line.text)) and 2 * line.links <= len(line.text)
+             for line in full]
+    if not any(thick):
+        return [line.text for line in full]
+    first, last = thick.index(True), len(full) - thick[::-1].index(True)
+    while first and full[first - 1].heading:
+        first -= 1
+    return [line.text for line in full[first:last]]
+
+
+def _dense(lines: list[Line], asides: list[Aside], free: set[int]) -> list[str]:
     """Lines between surge and dive; elements in ``free`` set nothing aside."""
-    apart = [any(k not in free for k in line.asides) for line in lines]
+    blocked: list[bool] = []
+    for k, aside in enumerate(asides):
+        blocked.append(k not in free or aside.around >= 0 and blocked[aside.around])
+    apart = [line.aside >= 0 and blocked[line.aside] for line in lines]
     # An article that is marked as such bounds where text is looked for.
     marked = any(line.inside and not a for line, a in zip(lines, apart))
     n = len(lines)
@@ -233,9 +285,10 @@ def _dense(lines: list[Line], free: set[int]) -> list[str]:
         # Surge: some window in between holds enough; headings of a marked article need none.
         surge = max(masses[i:stop])
         keep = surge >= SURGE or marked and any(line.heading and length for line, length in zip(lines[i:stop], lengths[i:stop]))
-        runs.append((surge, keep, [line.text for line, length in zip(lines[i:stop], lengths[i:stop]) if length]))
+        run = list(zip(lines[i:stop], lengths[i:stop]))
+        runs.append((surge, keep, [line.text for line, length in run if length] if marked else _text_of(run)))
         i = stop
-    if marked and runs and not any(keep for _, keep, _ in runs):  # a short article: its densest run
+    if runs and not any(keep for _, keep, _ in runs):  # a short text: its densest run
         return max(runs, key=lambda run: run[0])[2]
     return [text for _, keep, texts in runs if keep for text in texts]
 
@@ -243,14 +296,17 @@ def _dense(lines: list[Line], free: set[int]) -> list[str]:
 def extract(page: str | None) -> str:
     """The main text: its blocks joined by blank lines; empty if the page has none."""
     lines, asides = lines_of(page or "")
-    kept = _dense(lines, _wrappers(lines, asides))
+    kept = _dense(lines, asides, _wrappers(lines, asides))
     if not kept:  # nothing is left: what was set aside for its name alone may be the text
-        kept = _dense(lines, {k for k, aside in enumerate(asides) if not aside.certain})
+        kept = _dense(lines, asides, {k for k, aside in enumerate(asides) if not aside.certain})
     return "\n\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars`` of every row; a NULL or empty page has an empty text."""
+    """``page_id``, ``url``, ``text``, ``n_chars`` of every row; a NULL or empty page has an empty text.
+
+    Repeated rows are repeated in the result, and columns other than ``page_id``, ``url`` and ``html`` are not looked at.
+    """
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 
