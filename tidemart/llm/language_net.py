@@ -152,7 +152,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     often = known.groupBy("lang").agg(F.approx_count_distinct("order").alias("n"))
     # Twice as many as wanted by their hash: fewer than wanted are left by no chance worth speaking of.
     place = F.shiftrightunsigned("order", 1) / F.lit(float(1 << 63))
-    some = known.join(often, "lang").where(place < 2.0 * sample / F.col("n")).select("lang", "order", "text")
+    # A row per language, of which the net has an output each.
+    some = known.join(F.broadcast(often), "lang").where(place < 2.0 * sample / F.col("n")).select("lang", "order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

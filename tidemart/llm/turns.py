@@ -33,7 +33,7 @@ from tidemart.llm.tables import stored
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: Rows of a block, in which all splits of all spans are tried.
-BLOCK = 16
+BLOCK = 8
 #: Rows that a task sorts and parses, on average.
 TASK_ROWS = 200_000
 #: States: nothing yet, after a system turn, after a user turn, after an assistant turn.
