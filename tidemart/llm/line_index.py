@@ -5,6 +5,10 @@ line, with +1 when it came and -1 when it went) and, for each shard of line keys
 of the lines that at least ``min_docs`` documents hold. A batch of documents first asks the filters,
 which are small and never miss such a line; only what they let through meets the exact table.
 Deleting documents takes lines out of the filters again as they fall below the bound.
+
+References lie in a folder per shard. A change looks at the references of its own lines only, in the shards that have
+them, so it costs what the change and these shards cost, however many documents came before. A filter that is
+nearly full is built anew, twice as large as it has to be, from the exact table.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one shard that a task holds at a time, on average; the number of shards follows from it.
 SHARD_KEYS = 100_000
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-_FILTER = "shard INT, slots BINARY, stash BINARY"
+_FILTER = "shard INT, n BIGINT, slots BINARY, stash BINARY"
+_REFS = "key BINARY, doc_id BIGINT, step INT, batch INT, shard INT"
+#: Part of a filter's places that may be taken before it is built anew.
+FULL = 0.9
 
 
 class CuckooFilter:
@@ -91,8 +98,12 @@ class CuckooFilter:
         found = ((self.slots[first] == mark[:, None]).any(1)) | ((self.slots[second] == mark[:, None]).any(1))
         return found | np.isin(hashes, np.array(self.stash, dtype=np.uint64))
 
+    @property
+    def held(self) -> int:
+        return int(np.count_nonzero(self.slots)) + len(self.stash)
+
     def row(self, shard: int) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [shard], "slots": [self.slots.tobytes()],
+        return pd.DataFrame({"shard": [shard], "n": [self.held], "slots": [self.slots.tobytes()],
                              "stash": [np.array(self.stash, dtype=np.uint64).tobytes()]})
 
     @classmethod
@@ -145,20 +156,22 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str, shards: int, min_docs: int = MIN_DOCS):
         self.spark, self.path, self.shards, self.min_docs, self.batch = spark, path, shards, min_docs, 0
 
-    def _refs(self, upto: int) -> DataFrame:
-        refs = self.spark.createDataFrame([], "key BINARY, doc_id BIGINT, step INT")
+    def _refs(self, upto: int, keys: DataFrame | None = None) -> DataFrame:
+        """References of the batches up to one, of ``keys`` (with ``shard``, distinct) alone if these are given."""
+        refs = self.spark.createDataFrame([], _REFS)
         if upto:
-            refs = self.spark.read.schema(refs.schema).parquet(*(f"{self.path}/refs-{i}" for i in range(1, upto + 1)))
+            refs = self.spark.read.schema(_REFS).option("basePath", self.path).option("mergeSchema", "false").parquet(
+                *(f"{self.path}/batch={i}" for i in range(1, upto + 1)))
+        if keys is not None:
+            # A number per shard; folders of other shards are not read.
+            touched = [r.shard for r in keys.select("shard").distinct().collect()]
+            refs = refs.where(F.col("shard").isin(touched)).join(keys.select("key"), "key", "left_semi")
         return refs
 
-    def _holders(self, upto: int) -> DataFrame:
-        """Each line with the documents that hold it after a batch, one row per pair."""
-        return self._refs(upto).groupBy("key", "doc_id").agg(F.sum("step").alias("n")).where("n > 0")
-
-    def counts(self, upto: int | None = None) -> DataFrame:
+    def counts(self, keys: DataFrame | None = None, upto: int | None = None) -> DataFrame:
         """``key``, ``docs``, ``last``: how many documents hold a line, and the largest id of them."""
-        return (self._holders(self.batch if upto is None else upto)
-                .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")))
+        holders = self._refs(self.batch if upto is None else upto, keys).groupBy("key", "doc_id").agg(F.sum("step").alias("n")).where("n > 0")
+        return holders.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
 
     def _filters(self) -> DataFrame:
         if not self.batch:
@@ -170,27 +183,43 @@ class LineIndex:
 
     def _change(self, lines: DataFrame, step: int) -> None:
         pairs = lines.where("doc_id IS NOT NULL").select("key", "doc_id").distinct()
-        # A document that is there already is not counted twice, one that is not is not taken out.
-        pairs = pairs.join(self._holders(self.batch).select("key", "doc_id"), ["key", "doc_id"],
-                           "left_anti" if step > 0 else "left_semi") if self.batch or step < 0 else pairs
-        number = self.batch + 1
-        (pairs.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{self.path}/refs-{number}"))
-        many = F.coalesce("docs", F.lit(0)) >= self.min_docs
-        after = self.counts(number).select("key", many.alias("after"))
-        before = self.counts(self.batch).select("key", many.alias("before")) if self.batch else None
-        if before is None:
-            changes = after.where("after").select("key", F.lit(1).alias("step"))
-        else:
-            touched = self._refs(number).where(F.col("step").isNotNull()).select("key").distinct()
-            changes = (touched.join(before, "key", "left").join(after, "key", "left")
-                       .select("key", F.coalesce("before", F.lit(False)).alias("before"),
-                               F.coalesce("after", F.lit(False)).alias("after"))
-                       .where("before <> after").select("key", F.when(F.col("after"), 1).otherwise(-1).alias("step")))
-        (changes.select(self._shard(), "key", "step").groupBy("shard")
-         .cogroup(self._filters().groupBy("shard")).applyInPandas(_changed, _FILTER)
+        if self.batch or step < 0:
+            # A document that is there already is not counted twice, one that is not is not taken out.
+            asked = lines.select("key").distinct().select("key", self._shard())
+            there = (self._refs(self.batch, asked).groupBy("key", "doc_id").agg(F.sum("step").alias("n"))
+                     .where("n > 0").select("key", "doc_id"))
+            pairs = pairs.join(there, ["key", "doc_id"], "left_anti" if step > 0 else "left_semi")
+        number, earlier = self.batch + 1, self._filters()
+        (pairs.select("key", "doc_id", F.lit(step).alias("step"), self._shard()).hint("rebalance", "shard")
+         .write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/batch={number}"))
+        new = self._refs(number).where(F.col("batch") == number)
+        touched = new.select("key", "shard").distinct()
+        # Documents that hold a touched line after the change, and before it.
+        own = new if number == 1 else self._refs(number, touched)
+        holders = own.groupBy("key", "doc_id").agg(
+            F.sum("step").alias("after"), F.sum(F.when(F.col("batch") < number, F.col("step")).otherwise(0)).alias("before"))
+        many = holders.groupBy("key").agg(*((F.count_if(F.col(c) > 0) >= self.min_docs).alias(c) for c in ("before", "after")))
+        changes = many.where("before <> after").select(
+            self._shard(), "key", F.when(F.col("after"), 1).otherwise(-1).alias("step"))
+        if number > 1:
+            changes = stored(changes, "line-changes")
+            full = self._nearly_full(earlier, changes)
+            if full:
+                anew = self._refs(number).where(F.col("shard").isin(full)).select("key", "shard").distinct()
+                whole = self.counts(anew, number).where(F.col("docs") >= self.min_docs).select(self._shard(), "key", F.lit(1).alias("step"))
+                changes = changes.where(~F.col("shard").isin(full)).unionByName(whole)
+                earlier = earlier.where(~F.col("shard").isin(full))
+        (changes.groupBy("shard").cogroup(earlier.groupBy("shard")).applyInPandas(_changed, _FILTER)
          .write.mode("overwrite").parquet(f"{self.path}/filters-{number}"))
         self.batch = number
 
+    def _nearly_full(self, filters: DataFrame, changes: DataFrame) -> list[int]:
+        """Shards whose filter would have too few places left."""
+        coming = changes.groupBy("shard").agg(F.count_if(F.col("step") > 0).alias("more"))
+        places = F.octet_length("slots") / 2
+        return [r.shard for r in filters.join(coming, "shard").where(
+            (F.col("n") + F.col("more") > FULL * places) | (F.octet_length("stash") > 0)).select("shard").collect()]
+
     def insert(self, lines: DataFrame) -> None:
         """Counts the ``lines_of`` new documents. Rows with one ``doc_id`` are one document; without, none."""
         self._change(lines, 1)
@@ -204,7 +233,8 @@ class LineIndex:
         asked = keys.select("key").distinct().select(self._shard(), "key")
         maybe = (asked.groupBy("shard").cogroup(self._filters().groupBy("shard"))
                  .applyInPandas(_let_through, "key BINARY"))
-        return maybe.join(self.counts(), "key").where(F.col("docs") >= self.min_docs).select("key", "last")
+        known = self.counts() if self.batch <= 1 else self.counts(stored(maybe.select("key", self._shard()), "asked-lines"))
+        return maybe.join(known, "key").where(F.col("docs") >= self.min_docs).select("key", "last")
 
     def drop_lines(self, docs: DataFrame, lines: DataFrame) -> DataFrame:
         """``docs``, given with their ``lines_of``, without repeated lines; plus ``n_lines`` (before) and ``n_dropped``.
