@@ -97,6 +97,15 @@ def test_shards(spark, messy):
     assert sum(len(p) > 1 for p in places.values()) <= 12
 
 
+@pytest.mark.parametrize("n, copies", [(100, 100), (4030, 2), (3999, 3), (39, 1), (39, 39), (1, 1), (41, 2), (2000, 7)])
+def test_shards_are_even_without_single_rows(spark, n, copies):
+    docs = spark.range(n).selectExpr("id AS doc_id", f"concat('text ', id div {copies}) AS text")
+    rows = sharding.balanced_shards(docs).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == n and max(sizes.values()) - min(sizes.get(s, 0) for s in range(40)) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(k)) for s, k in sizes.items())
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     docs = spark.createDataFrame([
@@ -150,3 +159,23 @@ def test_pipeline(spark, sf):
     assert out.count() == before.count() and {"ids", "n_tokens"} <= set(out.columns)
     texts = {r.doc_id: r.text for r in before.collect()}
     assert {r.doc_id: r.text for r in out.collect()} == texts
+
+
+@pytest.mark.parametrize("constants", [0, 3])
+def test_items_that_are_too_many_for_constants(spark, sf, monkeypatch, constants):
+    """Item shingles as a table give the same rows as item shingles as constants."""
+    monkeypatch.setattr(decontaminate, "CONSTANTS", constants)
+    name = "op10_decontaminate"
+    problem, n = compare(spark, connect(sf), sf, plans.QUERIES[name], plans.ORACLES[name])
+    assert not problem and n > 0
+
+
+def test_odd_items_as_a_table(spark, messy, monkeypatch):
+    items = spark.createDataFrame([(1, "quick brown fox"), (2, "the"), (3, None), (4, ""), (None, "own line"), (5, " ".join(
+        f"word{i % 997}x{i % 13}" for i in range(100, 130))), (5, "quick brown fox")], "item_id BIGINT, text STRING")
+
+    def found():
+        return sorted((tuple(r) for r in decontaminate.contamination(messy, items).collect()), key=str)
+    few = found()
+    monkeypatch.setattr(decontaminate, "CONSTANTS", 0)
+    assert found() == few and len(few) == len(ROWS)

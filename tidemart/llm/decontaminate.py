@@ -6,22 +6,21 @@ positions with such a shingle carry the words around them to the join; there the
 shingle in the window says where the window would begin and end, and only what fits into the
 document is compared word by word.
 
-Shingles of the items, never of documents, pass through the driver: they are looked for as constants,
-in blocks of a fixed size, with one pass over the documents for each block.
+Up to a fixed number of item shingles are looked for as constants, which saves most of the work of putting
+document shingles together. More of them stay a table, with which the shingles of all documents are joined.
+Either way documents are passed over twice, to count and to find, however many items there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemart.llm.tables import ascii_lower, stored
 
 WINDOW = 10
-#: Shingles looked for in one pass over the documents; more are looked for in further passes.
-BLOCK = 20_000
+#: Up to so many shingles of items pass through the driver and are looked for as constants.
+CONSTANTS = 20_000
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,8 +52,18 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _blocks(values: list[str]) -> list[list[str]]:
-    return [values[i:i + BLOCK] for i in range(0, len(values), BLOCK)]
+def _few(tokens: DataFrame) -> list[str] | None:
+    """The tokens in order if they are few enough to be constants, else None."""
+    found = [r.token for r in tokens.select("token").distinct().limit(CONSTANTS + 1).collect()]
+    return sorted(found) if len(found) <= CONSTANTS else None
+
+
+def _every_token(words: Column, alone: bool) -> Column:
+    """Place and shingle of every place of a document; with ``alone`` the word at a place as well."""
+    def entries(i: Column) -> Column:
+        pair = F.struct(i.alias("place"), _shingle(words, i).alias("token"))
+        return F.array(pair, F.struct(i.alias("place"), F.element_at(words, i).alias("token"))) if alone else F.array(pair)
+    return F.flatten(F.transform(_places(words, lambda i: F.lit(True)), entries))
 
 
 def _has(words: Column, at: Column, wanted: list[str], alone: list[str]) -> Column:
@@ -75,16 +84,17 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     count = F.greatest(F.lit(1), F.size("window") - 1)
     shingles = each.select("window", F.posexplode(F.transform(
         F.sequence(F.lit(1), count), lambda i: _shingle(F.col("window"), i))).alias("at", "token"))
-    tokens = sorted(r.token for r in shingles.select("token").distinct().toLocalIterator())
-    passes = []
-    for block in _blocks(tokens):
-        pairs = [t for t in block if " " in t]
-        if pairs:
-            found = _let(words_of(F.col("text")), _counter(pairs))
-            passes.append(docs.select(F.explode(found).alias("token")))
+    tokens = shingles.where(F.size("window") > 1).select("token").distinct()
+    constants = _few(tokens)
+    words = words_of(F.col("text"))
+    if constants is None:
+        of_docs = docs.select(F.explode(_let(words, lambda w: F.array_distinct(
+            F.transform(_every_token(w, False), lambda e: e["token"])))).alias("token")).join(stored(tokens, "tokens"), "token", "left_semi")
+    else:
+        of_docs = docs.select(F.explode(_let(words, _counter(constants))).alias("token"))
     rare = F.row_number().over(Window.partitionBy("window").orderBy("docs", "token", "at"))
-    if passes:
-        seen = reduce(DataFrame.union, passes).groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+    if constants != []:
+        seen = of_docs.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
         ranked = shingles.join(seen, "token", "left").fillna(0, ["docs"])
     else:
         ranked = shingles.withColumn("docs", F.lit(0))
@@ -98,21 +108,34 @@ def _counter(pairs: list[str]):
         _places(w, lambda i: _has(w, i, pairs, [])), lambda i: _shingle(w, i)))
 
 
-def _finder(wanted: list[str], alone: list[str], size: int):
-    """The number of words, and for each place of a wanted shingle the words around it.
+def _entries(words: Column, places: Column, size: int) -> Column:
+    """The number of words, and for each place the words around it.
 
     A first entry without a place stands for the document itself.
     """
-    def around(w: Column) -> Column:
-        def entry(i: Column) -> Column:
-            first = F.greatest(F.lit(1), i - size + 2)
-            return F.struct(i.alias("place"), first.alias("first"),
-                            F.slice(w, first, 2 * size).alias("near"))
-        own = F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("first"),
-                               F.array().cast("array<string>").alias("near")))
-        return F.struct(F.size(w).cast("long").alias("n_words"),
-                        F.concat(own, F.transform(_places(w, lambda i: _has(w, i, wanted, alone)), entry)).alias("found"))
-    return around
+    def entry(i: Column) -> Column:
+        first = F.greatest(F.lit(1), i - size + 2)
+        return F.struct(i.alias("place"), first.alias("first"), F.slice(words, first, 2 * size).alias("near"))
+    own = F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("near")))
+    return F.struct(F.size(words).cast("long").alias("n_words"), F.concat(own, F.transform(places, entry)).alias("found"))
+
+
+def _found(docs: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_words`` and ``place``, ``first``, ``near`` of each place of a token in a document."""
+    words, own = words_of(F.col("text")), docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    constants = _few(tokens)
+    if constants is not None:
+        pairs, alone = [t for t in constants if " " in t], [t for t in constants if " " not in t]
+        found = own.withColumn("f", _let(words, lambda w: _entries(w, _places(w, lambda i: _has(w, i, pairs, alone)), size)))
+    else:
+        tokens = stored(tokens.select("token").distinct(), "tokens")
+        every = own.select("doc_id", "text_hash", F.inline(_let(words, lambda w: _every_token(w, True))))
+        # A document's places are as many as its words at most.
+        places = (every.join(tokens, "token", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+                  .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
+        found = own.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").withColumn(
+            "f", _let(words, lambda w: _entries(w, F.coalesce("places", F.array().cast("array<int>")), size)))
+    return found.select("doc_id", "text_hash", "f.n_words", F.inline("f.found"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -124,15 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """
     windows = stored(item_windows(items, size), "windows")
     chosen = stored(prefixes(docs, windows), "prefixes")
-    tokens = sorted(r.token for r in chosen.select("token").distinct().toLocalIterator())
-    parts = []
-    for n, block in enumerate(_blocks(tokens) or [[]]):
-        pairs, alone = [t for t in block if " " in t], [t for t in block if " " not in t]
-        found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                            _let(words_of(F.col("text")), _finder(pairs, alone, size)).alias("f"))
-        part = found.select("doc_id", "text_hash", "f.n_words", F.inline("f.found"))
-        parts.append(part if n == 0 else part.where("place > 0"))
-    places = reduce(DataFrame.union, parts)
+    places = _found(docs, chosen, size)
 
     # The shingle at a place, and its first word for windows of one word.
     at_place = F.col("place") - F.col("first") + 1
