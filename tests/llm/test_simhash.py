@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 import xxhash
 from conftest_rows import ROWS
 
@@ -110,3 +111,19 @@ def test_stage_finds_near_copies(spark):
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert pairs > 80 and all(i % 2 or i in kept for i, _ in rows)
     assert sum(i % 2 for i in kept) <= 0.1 * pairs
+
+
+def test_pipeline_stage_keeps_one_of_each_fingerprint_class(spark, messy, empty):
+    """The stage drops what the query's classes link, and nothing else."""
+    words = [f"w{i}" for i in range(400)]
+    docs = messy.unionByName(spark.createDataFrame(
+        [(100, " ".join(words)), (101, " ".join([*words[:200], "x", *words[201:]])), (102, " ".join(words[::-1]))],
+        "doc_id BIGINT, text STRING"), allowMissingColumns=True)
+    least = {}
+    for r in simhash.near_classes(docs).collect():
+        if r.doc_id is not None:
+            least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(least.values())
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0

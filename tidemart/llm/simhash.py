@@ -160,6 +160,24 @@ def near_classes(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE,
             .select("doc_id", "text_hash", node.alias("fingerprint"), "component_id", "root"))
 
 
+def _one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the smallest ``doc_id`` of each ``root`` of ``classes``; a class without any id keeps one text."""
+    stay = (classes.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(
+        F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+        .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_keep_id"))
+                     & (F.xxhash64(docs["text"]) == F.col("_keep_hash")), "left_semi")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each class of ``near_classes`` stays: the one with the smallest ``doc_id``.
+
+    Documents are linked by their fingerprints, as in the query; every such link is found. Rows equal in
+    ``doc_id`` and ``text`` are one document and stay or go together. All columns are kept.
+    """
+    return _one_of_each(docs, near_classes(docs))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the smallest ``doc_id``.
 
@@ -167,9 +185,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     and each is verified on the shingles. Rows equal in ``doc_id`` and ``text`` are one document and
     stay or go together. All columns are kept; a class without any id keeps one text.
     """
-    classes = alike_classes(docs)
-    stay = (classes.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(
-        F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-        .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_keep_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_keep_hash")), "left_semi")
+    return _one_of_each(docs, alike_classes(docs))
