@@ -1,5 +1,7 @@
 """Boosted trees and the isolation forest against plain walks and searches."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -86,3 +88,30 @@ def test_verdicts_follow_the_calibrated_limit(spark):
     good = [s for r, s in zip(counts, scores) if r.doc_id in learnt and r.doc_id % 9 and r.n_words >= 50 and 2 * r.n_repeat_words <= r.n_words]
     assert forest.limit == np.quantile(good, 1 - rule_forest.MAY_LOSE, method="higher")
     assert len({r.doc_id for r in verdicts if not r.kept and r.doc_id % 9 == 0}) > 10
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Each row is in a tree, also where trees get no more than a part, and the limit is that of all rows labelled good."""
+    monkeypatch.setattr(rule_forest, "TREES", 4)
+    monkeypatch.setattr(rule_forest, "ROWS", 8)
+    random = np.random.default_rng(3)
+    rows = [(i, 100, 500 + int(random.integers(90)), int(random.integers(5)), 0, 0, 10) for i in range(300)]
+    rows[217] = (217, 100, 500, 90, 0, 0, 10)
+    counts = spark.createDataFrame(rows, "doc_id BIGINT, " + ", ".join(f"{n} BIGINT" for n in rule_forest.BASE))
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id BIGINT, quality INT")
+    seen = []
+    plain = rule_forest._grown
+    monkeypatch.setattr(rule_forest, "_grown", lambda found, n: seen.append((found.count(), n)) or plain(found, n))
+    forest = rule_forest.fit_forest(counts, labels)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert seen == [(len(learnt), len(learnt))] and len(forest.roots) == 4 and forest.rows == len(learnt) // 4
+    x = rule_forest.rates(np.array([r[1:] for r in learnt]))
+    assert forest.limit == np.quantile(forest.score(x), 1 - rule_forest.MAY_LOSE, method="higher")
+
+
+def test_score_at_is_the_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(rule_forest, "_PARTS", 3)
+    values = [float(v) for v in np.random.default_rng(4).integers(0, 40, 500) / 97] + [0.125, 0.125 + 2 ** -50]
+    scores = spark.createDataFrame([(v,) for v in values], "anomaly DOUBLE")
+    for part in (0.0, 0.3, 0.995, 1.0):
+        assert rule_forest.score_at(scores, part) == np.quantile(values, part, method="higher")
