@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -24,6 +25,8 @@ SCHEMA = "partition INT, offset BIGINT, value STRING"
 _NAME = "topic_archive"
 #: Messages that a task reads at most.
 STRETCH = 1_000_000
+#: Messages that a task holds at once.
+ROWS = 4_096
 
 
 @dataclass
@@ -69,11 +72,20 @@ class _Reader(DataSourceStreamReader):
                 for p in sorted(end, key=int) for at in range(start.get(p, 0), end[p], STRETCH)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        wanted = ((pc.field("partition") == partition.partition) & (pc.field("offset") >= partition.start)
-                  & (pc.field("offset") < partition.end))
-        for batch in self._files().to_batches(columns=["partition", "offset", "value"], filter=wanted):
-            if batch.num_rows:
-                yield batch
+        """Row groups in which the stretch lies, one after the other and ``ROWS`` messages at a time; nothing is read ahead."""
+        for file in self._files().get_fragments(filter=pc.field("partition") == partition.partition):
+            wanted = [g.id for g in file.row_groups if g.statistics["offset"]["max"] >= partition.start
+                      and g.statistics["offset"]["min"] < partition.end]
+            if not wanted:
+                continue
+            with file.filesystem.open_input_file(file.path) as stored:
+                parquet = pq.ParquetFile(stored, buffer_size=1 << 20, pre_buffer=False)
+                for batch in parquet.iter_batches(ROWS, row_groups=wanted, columns=["offset", "value"], use_threads=False):
+                    batch = batch.filter((pc.field("offset") >= partition.start) & (pc.field("offset") < partition.end))
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([partition.partition] * batch.num_rows, pa.int32()), batch["offset"].cast(pa.int64()), batch["value"].cast(pa.string())],
+                            names=["partition", "offset", "value"])
 
 
 class TopicArchive(DataSource):
