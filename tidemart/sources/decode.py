@@ -8,6 +8,9 @@ once for each field the filter names.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +19,15 @@ from tidemart import schemas as S
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def _inline_json(df: DataFrame, layout: str, value: str) -> DataFrame:
-    parsed = F.from_json(F.col(value), layout, _JSON_OPTIONS)
-    return df.select("*", F.inline(F.array(parsed)))
+def _inline_json(df: DataFrame, layout: str, value: str, wanted: Column | None = None) -> DataFrame:
+    """The parsed fields; messages that are not ``wanted`` are left out unparsed."""
+    parsed = F.array(F.from_json(F.col(value), layout, _JSON_OPTIONS))
+    return df.select("*", F.inline(parsed if wanted is None else F.when(wanted, parsed)))
+
+
+def _may_hold(value: str, texts: Iterable[str]) -> Column:
+    """False only where none of ``texts`` can be a text of the message: one that is not escaped stands there as it is."""
+    return reduce(Column.__or__, (F.col(value).contains(text) for text in (*texts, "\\")))
 
 
 def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -64,17 +73,30 @@ def check_change(raw: DataFrame, value: str = "value") -> DataFrame:
 
     A record without type, table, image, or an id in its image cannot be used.
     """
-    parsed = _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT, _corrupt_record STRING", value)
+    return _check_change(raw, value)
+
+
+def _check_change(raw: DataFrame, value: str, wanted: Column | None = None) -> DataFrame:
+    parsed = _inline_json(raw, "`type` STRING, `table` STRING, `data` VARIANT, _corrupt_record STRING", value, wanted)
+    # The message is looked at only where there is no type, so usable records do not carry it along. Most ids are
+    # whole numbers already; a cast out of a VARIANT costs much more per record than asking for its type.
     return parsed.withColumn("fault", F.expr(f"""
-        CASE WHEN `{value}` IS NULL OR _corrupt_record IS NOT NULL THEN 'bad_json'
-             WHEN type IS NULL THEN 'type' WHEN table IS NULL THEN 'table'
+        CASE WHEN _corrupt_record IS NOT NULL THEN 'bad_json'
+             WHEN type IS NULL THEN CASE WHEN `{value}` IS NULL THEN 'bad_json' ELSE 'type' END
+             WHEN table IS NULL THEN 'table'
              WHEN data IS NULL OR is_variant_null(data) THEN 'data'
+             WHEN schema_of_variant(try_variant_get(data, '$.id', 'variant')) <=> 'BIGINT' THEN NULL
              WHEN try_variant_get(data, '$.id', 'bigint') IS NULL THEN 'id' END""")).drop("_corrupt_record")
 
 
-def parse_change(raw: DataFrame, value: str = "value") -> DataFrame:
-    """The usable change records, without their messages."""
-    return usable(check_change(raw, value)).drop(value, "fault")
+def parse_change(raw: DataFrame, value: str = "value", kinds: Iterable[str] = ()) -> DataFrame:
+    """The usable change records, without their messages.
+
+    ``kinds`` are the change types that a reader uses: messages that cannot be of one of them are not parsed.
+    Some records of other types may still come out.
+    """
+    wanted = _may_hold(value, kinds) if kinds else None
+    return usable(_check_change(raw, value, wanted)).drop(value, "fault")
 
 
 def json_text(column: str) -> Column:

@@ -29,6 +29,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: So many rows are made into messages, parsed and printed by a task: some seconds of work.
+ROWS_PER_TASK = 200_000
+
+
+def dealt(joined: DataFrame, source: DataFrame) -> DataFrame:
+    """``joined``, about as many rows as ``source`` has, dealt evenly over tasks whose number grows with them.
+
+    For rows that are turned into JSON and back: adaptive execution packs a join's tasks by bytes, and few bytes of
+    a join are very much work here. ``source`` is a stored table, so its count reads no column.
+    """
+    tasks = max(joined.sparkSession.sparkContext.defaultParallelism, -(-source.count() // ROWS_PER_TASK))
+    return joined.repartition(tasks)
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, value``: one behaviour-log message per event."""
     return log_messages(spread(table(spark, sf_dir, "events")))
@@ -99,11 +113,13 @@ def _laid_out(df: DataFrame, layout: S.Layout) -> DataFrame:
     return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in layout))
 
 
-def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders"))
+def order_info(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """Order headers; ``deal`` deals them evenly over tasks behind the join, not before it."""
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     none, zero = F.lit(None).cast("string"), F.lit(0)
-    return _laid_out(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    joined = (orders if deal else spread(orders)).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return _laid_out((dealt(joined, orders) if deal else joined).select(
         F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("province_id"),
         F.col("o_orderstatus").alias("order_status"), F.col("o_custkey").alias("user_id"),
         _money("o_totalprice").alias("total_amount"),
@@ -123,14 +139,15 @@ def _line_id() -> Column:
     return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("bigint")
 
 
-def order_detail(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Order lines; ``extra`` names further lineitem columns to keep."""
-    line = spread(table(spark, sf_dir, "lineitem"))
+def order_detail(spark: SparkSession, sf_dir: str, *extra: str, deal: bool = False) -> DataFrame:
+    """Order lines; ``extra`` names further lineitem columns to keep, ``deal`` as for ``order_info``."""
+    line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     # Products first: the result then lies by order, as the join with the headers wants it.
-    joined = (line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = ((line if deal else spread(line)).join(part, F.col("l_partkey") == F.col("p_partkey"))
               .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    joined = dealt(joined, line) if deal else joined
     discount = F.col("l_discount").cast("decimal(4,2)")
     paid = F.lit(1).cast("decimal(4,2)") - discount
     laid_out = joined.select(
@@ -187,8 +204,11 @@ def table_list(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "table STRING")
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq, value``: one change record per row of six tables; users change twice."""
+def change_log(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """``seq, value``: one change record per row of six tables; users change twice.
+
+    ``deal`` deals orders and lines evenly over tasks, for readers with much work per message.
+    """
     last = F.col("id") % 10
     kind = (F.when(last == 0, "delete").when(last <= 2, "update").when(last == 3, "bootstrap-insert")
             .when(last == 4, "bootstrap-start").otherwise("insert"))
@@ -198,17 +218,17 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             kind.alias("type"), F.lit(name).alias("table"), F.struct(*rows.columns).alias("data")))
         return rows.select((F.col("id") * 2 + occurrence).alias("seq"), message.alias("value"))
 
-    users = user_info(spark, sf_dir)
+    users = spread(user_info(spark, sf_dir))
     other = F.when(F.col("gender") == "F", "M").otherwise("F")
     changed = users.withColumn("gender", F.when(last == 1, other).otherwise(F.col("gender")))
     noise = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), "r_name")
     parts = [
-        changes("order_info", order_info(spark, sf_dir)),
-        changes("order_detail", order_detail(spark, sf_dir)),
+        changes("order_info", order_info(spark, sf_dir, deal)),
+        changes("order_detail", order_detail(spark, sf_dir, deal=deal)),
         changes("user_info", users),
         changes("user_info", changed, F.lit("update"), 1),
         changes("base_province", base_province(spark, sf_dir)),
-        changes("sku_info", sku_info(spark, sf_dir)),
+        changes("sku_info", spread(sku_info(spark, sf_dir))),
         changes("noise", noise),
     ]
     log = parts[0]
