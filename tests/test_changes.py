@@ -53,6 +53,20 @@ def test_tasks_of_orders_and_lines_grow_with_them(spark, tables, monkeypatch):
     assert len(change_plans.parse_change_json(spark, tables).collect()) == 40 + 80 + 2 * 40 + 1 + 40 + 1
 
 
+def test_changes_of_other_kinds_are_not_parsed(spark):
+    def change(kind):
+        return f'{{"type":{kind},"table":"t","data":{{"id":1}}}}'
+    escaped = '"\\u0069nsert"'
+    raw = spark.createDataFrame([(i, v) for i, v in enumerate([
+        change('"insert"'), change('"bootstrap-insert"'), change(escaped), change('"update"'), change('"bootstrap-start"'),
+        change("null"), change("7"), '{"type":"insert', None, "'insert'"])], "seq BIGINT, value STRING")
+    everything, some = decode.parse_change(raw), decode.parse_change(raw, kinds=["insert", "bootstrap-insert"])
+    assert sorted(r.seq for r in some.collect()) == [0, 1, 2]
+    assert sorted(r.seq for r in everything.collect()) == [0, 1, 2, 3, 4, 6]
+    kept = [sorted((r.seq, r.op) for r in routing.with_change_op(c).where("op = 'I'").collect()) for c in (everything, some)]
+    assert kept[0] == kept[1] == [(0, "I"), (1, "I"), (2, "I")]
+
+
 def test_ids_of_any_form_and_reasons(spark):
     def change(data):
         return f'{{"type":"insert","table":"t","data":{data}}}'
