@@ -68,9 +68,7 @@ def parse_typed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     from {_inserted('order_info')} h full join {_inserted('order_detail')} d on h.id = d.order_id"""))
 def order_detail_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New headers and new lines; many of either have no partner."""
-    topics = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
-    joined = orders.full_outer(I.inserted(spark, topics, "order_info", S.ORDER_HEADER),
-                               I.inserted(spark, topics, "order_detail", S.ORDER_LINE))
+    joined = orders.full_outer(*I.parsed_topics(spark, sf_dir, ["id", "create_time"], ["id", "order_id", "create_time"]))
     return joined.select("order_id", F.col("h_id").alias("header_id"), F.col("d_id").alias("detail_id"),
                          F.col("h_create_time").alias("header_time"), F.col("d_create_time").alias("line_time"))
 
