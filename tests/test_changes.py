@@ -79,3 +79,18 @@ def test_ids_of_any_form_and_reasons(spark):
     assert {r.value: r.fault for r in decode.check_change(raw).collect()} == cases
     plan = decode.parse_change(raw)._jdf.queryExecution().optimizedPlan().toString()
     assert "isnull(value" not in plan  # so a usable record does not carry its message behind the parse
+
+
+def test_topics_of_orders_are_parsed_once(spark, tables):
+    def new(key):
+        return key % 10 == 3 or key % 10 > 4
+    lines = [(r.id, r.order_id) for r in D.order_detail(spark, tables).collect() if new(r.id)]
+    headers = [i for i in range(40) if new(i)]
+    joined, alone = order_plans.order_detail_full_outer(spark, tables), order_plans.unmatched_orders(spark, tables)
+    for result in (joined, alone):
+        assert "from_json" not in result._jdf.queryExecution().optimizedPlan().toString()
+    with_lines = {o for _, o in lines}
+    assert sorted(((r.order_id, r.header_id, r.detail_id) for r in joined.collect()), key=str) == sorted(
+        [(o, o if o in headers else None, i) for i, o in lines] + [(h, h, None) for h in headers if h not in with_lines], key=str)
+    assert sorted(map(tuple, alone.collect())) == sorted(
+        [("header", h, h) for h in headers if h not in with_lines] + [("line", i, o) for i, o in lines if o not in headers])

@@ -82,9 +82,7 @@ UNMATCHED_SQL = with_views(f"""
 
 @query("unmatched_orders", UNMATCHED_SQL)
 def unmatched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = I.stored_topics(spark, sf_dir, "order_info", "order_detail")
-    headers = I.inserted(spark, topics, "order_info", S.ORDER_HEADER)
-    lines = I.inserted(spark, topics, "order_detail", S.ORDER_LINE)
+    headers, lines = I.parsed_topics(spark, sf_dir, ["id"], ["id", "order_id"])
     return (orders.unmatched_headers(headers, lines)
             .select(F.lit("header").alias("side"), "id", F.col("id").alias("order_id"))
             .unionByName(orders.unmatched_lines(headers, lines)
