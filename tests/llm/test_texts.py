@@ -5,11 +5,13 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest_rows import ROWS
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from taken import Taken
 
 from tidemart.llm import html_text, pieces, secrets
 from tidemart.llm.tables import read
@@ -156,6 +158,36 @@ paragraph &#233; &lt;tag&gt;.<br>After break<p>Second, left open
 <form>Send us your name <input name="a"><button>Go</button></form><footer>&copy; all rights</footer></body></html>"""
 
 
+def test_a_task_leaves_no_chunks_behind(model, monkeypatch):
+    """A Python worker goes on to other steps: what a task of the encoder remembered must not stay in its memory."""
+    frame = Taken(pa.schema({"doc_id": pa.int64(), "text": pa.string()}))
+    run = pieces.encode_texts(frame).function
+    with open(pieces.MODEL, "rb") as file:
+        data = file.read()
+    monkeypatch.setattr(pieces, "_models", {})
+    texts = [f"word{i} and, number {i * 7919}\n" for i in range(600)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], schema=frame.arrow)
+    for _ in range(2):
+        out = pa.Table.from_batches(run(iter([batch, batch]))).to_pylist()
+        assert [r["ids"] for r in out] == 2 * [model.encode(t or "") for t in texts]
+        worker = pieces.model_of(data)
+        assert not worker._seen and not worker._before
+    tasks = run(iter([batch]))
+    next(tasks)
+    assert worker._seen
+    tasks.close()  # a task that is not read to its end
+    assert not worker._seen
+
+
+def test_neighbours_are_remembered_up_to_a_bound(model, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 50)
+    own = pieces.PieceModel(open(pieces.MODEL, "rb").read())
+    for i in range(300):
+        text = f"zq{i * 7919}x{i}b streng{i}"
+        assert own.encode(text) == model.encode(text)
+        assert len(own._apart) <= 50 and len(own._seen) <= 50
+
+
 def test_main_text():
     assert html_text.extract(PAGE).split("\n\n") == [
         "The heading & more", "First bold paragraph é <tag>. After break", "Second, left open", "Third"]

@@ -3,7 +3,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from taken import Taken
 
 from tidemart.llm import quality_trees, rule_forest
 
@@ -54,6 +56,21 @@ def test_the_first_split_is_the_best_of_all():
         assert tree.value[leaf] == pytest.approx(-quality_trees.RATE * g[rows].sum() / (h[rows].sum() + quality_trees.SHRINK))
 
 
+def test_good_rows_leave_in_small_batches(monkeypatch):
+    """A batch is not built a second time as a whole; no row is lost between the parts."""
+    frame = Taken(pa.schema({"doc_id": pa.int64(), "text": pa.string()}))
+    texts = [None if i % 41 == 0 else f"some words {i} " * (i % 9) for i in range(1300)]
+    x = np.array([quality_trees.quality_features(t or "") for t in texts])
+    trees = quality_trees.fit_trees(x, np.array([float(i % 9 > 4) for i in range(1300)]), trees=5)
+    scores = quality_trees._scores(trees, pa.array(texts))
+    monkeypatch.setattr(quality_trees, "KEEP", float(np.median(scores)))
+    batch = pa.record_batch([pa.array(range(1300), pa.int64()), pa.array(texts)], schema=frame.arrow)
+    out = list(quality_trees.keep_good(frame, trees).function(iter([batch, batch.slice(0, 0), batch.slice(1299)])))
+    kept = [i for i in [*range(1300), 1299] if scores[i] >= quality_trees.KEEP]
+    assert max(b.num_rows for b in out) <= 512 and pa.Table.from_batches(out).column("doc_id").to_pylist() == kept
+    assert [r["text"] for b in out for r in b.to_pylist()] == [texts[i] for i in kept] and len(kept) < 1301
+
+
 def test_paths_equal_a_walk_node_by_node():
     x = some(600, 9)[0]
     forest = rule_forest.grow_forest(x)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Encoded chunks that a worker remembers before it begins anew, and characters by which arcs are remembered.
+#: Encoded chunks that a task remembers before it begins anew, and characters by which arcs are remembered.
 MEMORY, _START = 250_000, 4
 # Kinds of pieces and of models in the public model format.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -106,15 +106,19 @@ class PieceModel:
         for i, byte in self.byte_of.items():
             self.spelt[i] = bytes([byte])
         self.spelt[self.unknown] = " ⁇ ".encode()
-        # Chunks met since the last turn, and those of the turn before: frequent ones stay.
-        self._seen: dict[str, tuple[int, ...]] = {}
-        self._before: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self._apart: dict[tuple[str, str], bool] = {}
         # Arcs at a place by the characters there.
         self._starts: dict[str, tuple[tuple[str, ...], dict | None]] = {}
 
+    def forget(self) -> None:
+        """Gives up the chunks that were remembered; what they are made of stays, which is less."""
+        # Chunks met since the last turn, and those of the turn before: frequent ones stay.
+        self._seen: dict[str, tuple[int, ...]] = {}
+        self._before: dict[str, tuple[int, ...]] = {}
+
     def _compile_merges(self) -> None:
-        """For every piece the symbols at its edges, each with the rank of the merge that ends it.
+        """For every piece the two symbols that its last merge joins.
 
         Pieces that share the last rank (runs of spaces) are merged after all others, from the left.
         """
@@ -132,8 +136,6 @@ class PieceModel:
                 if any(len(p) > 1 and (p in self.late or self.rank[p] >= self.rank[piece]) for p in parts):
                     raise ValueError(f"piece {piece!r} comes before its parts")
                 self.tree[piece] = (parts[0], parts[1])
-        self.right_edge = {p: self._edge(p, 1) for p in self.tree}
-        self.left_edge = {p: self._edge(p, 0) for p in self.tree}
 
     def _merged(self, text: str) -> list[str]:
         """The last two symbols that a piece is merged from; more if it cannot be merged that far."""
@@ -146,6 +148,7 @@ class PieceModel:
         return parts
 
     def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """The symbols at one edge of a piece, each with the rank of the merge that ends it."""
         edge, until = [], math.inf
         while True:
             edge.append((piece, until))
@@ -157,8 +160,9 @@ class PieceModel:
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether merging leaves these two neighbours as they are."""
         apart = True
-        for a, a_until in self.right_edge.get(left, ((left, math.inf),)):
-            for b, b_until in self.left_edge.get(right, ((right, math.inf),)):
+        right_side = self._edge(right, 0)
+        for a, a_until in self._edge(left, 1):
+            for b, b_until in right_side:
                 both = a + b
                 rank = self.rank.get(both)
                 # At one rank the merge further left comes first.
@@ -167,7 +171,7 @@ class PieceModel:
                     break
             if not apart:
                 break
-        if len(self._apart) >= 4 * MEMORY:
+        if len(self._apart) >= MEMORY:
             self._apart.clear()
         self._apart[left, right] = apart
         return apart
@@ -309,7 +313,7 @@ _models: dict[bytes, PieceModel] = {}
 
 
 def model_of(data: bytes) -> PieceModel:
-    """A worker compiles a model once."""
+    """A worker compiles a model once. Workers are used again by other steps: tasks ``forget`` at their end."""
     if data not in _models:
         _models[data] = PieceModel(data)
     return _models[data]
@@ -333,18 +337,22 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                ids, same = [], []
-                for value in batch.column(text_at):
-                    text = value.as_py()
-                    own = model.encode(text or "")
-                    same.append(None if text is None else model.decode(own) == text)
-                    ids.append(own)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()),
-                     pa.array(same, pa.bool_())], names=names)
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):
+                    batch = whole.slice(start, 256)
+                    ids, same = [], []
+                    for value in batch.column(text_at):
+                        text = value.as_py()
+                        own = model.encode(text or "")
+                        same.append(None if text is None else model.decode(own) == text)
+                        ids.append(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()),
+                         pa.array(same, pa.bool_())], names=names)
+        finally:
+            model.forget()
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema)
 

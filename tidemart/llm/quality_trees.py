@@ -21,6 +21,8 @@ from tidemart.llm.text_stats import FEATURES, quality_features
 #: Labelled rows that trees are fitted to at most; those with the smallest hash of their id.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_ROWS, SHRINK = 80, 4, 64, 0.15, 5, 1.0
+#: Rows that a task scores at a time.
+_AT_ONCE = 512
 #: Scores of at least this are predicted to be good.
 KEEP = 0.7
 
@@ -141,8 +143,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees
 
 
 def _scores(trees: Trees, texts: pa.Array) -> np.ndarray:
-    parts = [trees.score(np.array([quality_features(v.as_py() or "") for v in texts.slice(start, 512)], dtype=float))
-             for start in range(0, len(texts), 512)]
+    parts = [trees.score(np.array([quality_features(v.as_py() or "") for v in texts.slice(start, _AT_ONCE)], dtype=float))
+             for start in range(0, len(texts), _AT_ONCE)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -162,11 +164,16 @@ def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be good, all columns as they are."""
+    """The rows of ``docs`` that are predicted to be good, all columns as they are.
+
+    They leave a task ``_AT_ONCE`` rows at most at a time, so that batches are not held twice over.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(trees, batch.column(at)) >= KEEP))
+            for start in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(start, _AT_ONCE)
+                yield part.filter(pa.array(_scores(trees, part.column(at)) >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)
