@@ -9,7 +9,8 @@ from conftest_rows import ROWS
 
 from tidemart.llm import simhash
 from tidemart.llm.components import components
-from tidemart.llm.tables import read
+from tidemart.llm.tables import read, stored
+from tidemart.session import settings
 
 
 def plain_print(text):
@@ -82,6 +83,31 @@ def test_crowded_buckets(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def test_no_exploded_table_is_broadcast(spark, path, monkeypatch):
+    """Spark takes an exploded table for as small as it was before, and broadcasts what fits the threshold by that."""
+    nodes = spark.range(200).selectExpr("lpad(hex(id * 977), 16, '0') node", "id * 977 w0")
+    nodes.write.parquet(f"{path}/nodes")
+    planned = []
+    monkeypatch.setattr(simhash, "stored", lambda df, label: planned.append(df) or stored(df, label))
+    planned.append(simhash.near_pairs(spark.read.parquet(f"{path}/nodes"), 1, 3))
+
+    def holds(node, name):
+        return node.nodeName().startswith(name) or any(holds(c, name) for c in children(node))
+
+    def children(node):
+        return [node.children().apply(i) for i in range(node.children().size())]
+
+    def built(node):
+        if node.nodeName().startswith("BroadcastHashJoin"):
+            yield node.left() if node.buildSide().toString() == "BuildLeft" else node.right()
+        for child in children(node):
+            yield from built(child)
+    # Over the size of the nodes' file and under what joins of them are taken for.
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "64k"}):
+        joins = [side for df in planned for side in built(df.select("*")._jdf.queryExecution().sparkPlan())]
+    assert len(planned) == 2 and joins and not any(holds(side, "Generate") for side in joins)
+
+
 def test_stage_keeps_one_of_each_group(messy, empty):
     kept = simhash.drop_near_duplicates(messy)
     assert kept.columns == messy.columns

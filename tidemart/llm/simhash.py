@@ -111,11 +111,12 @@ def near_pairs(nodes: DataFrame, words: int, distance: int) -> DataFrame:
     code = F.struct(*(f"w{i}" for i in range(words)), "node")
     table = nodes.select(F.explode(F.array(*_segments(words))).alias("key"), code.alias("m"))
     leaders = table.groupBy("key").agg(F.min("m").alias("leader"), F.count(F.lit(1)).alias("n"))
-    crowded = (table.join(leaders.where("n > 1"), "key").where("m.node <> leader.node")
+    # Spark takes an exploded table for no larger than before: by its own estimate it would broadcast all look-ups.
+    crowded = (table.join(leaders.where("n > 1").hint("merge"), "key").where("m.node <> leader.node")
                .withColumn("near", _distance(words, "m", "leader") <= distance))
     to_leader = crowded.where("near").select(F.col("leader.node").alias("a"), F.col("m.node").alias("b"))
     apart = crowded.where("NOT near").select("key", "m")
-    among = (apart.alias("x").join(table.alias("y"), "key")
+    among = (apart.alias("x").join(table.alias("y").hint("merge"), "key")
              .where((F.col("x.m.node") != F.col("y.m.node")) & (_distance(words, "x.m", "y.m") <= distance))
              .select(F.col("x.m.node").alias("a"), F.col("y.m.node").alias("b")))
 
@@ -125,7 +126,7 @@ def near_pairs(nodes: DataFrame, words: int, distance: int) -> DataFrame:
     probes = nodes.select(ref.alias("ref"), F.explode(flips).alias("key"))
     targets = leaders.select("key", F.col("leader").alias("m"), (F.col("n") > 1).alias("more")).unionByName(
         apart.withColumn("more", F.lit(False)))
-    met = (probes.join(targets, "key").join(nodes.select(ref.alias("ref"), code.alias("p")), "ref")
+    met = (probes.hint("merge").join(targets, "key").join(nodes.select(ref.alias("ref"), code.alias("p")), "ref")
            .withColumn("near", _distance(words, "p", "m") <= distance))
     met = stored(met.where("near OR more").select("key", "p", "m", "near", "more"), "met")
     hits = met.where("near").select(F.col("p.node").alias("a"), F.col("m.node").alias("b"))
