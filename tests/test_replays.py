@@ -1,6 +1,7 @@
 """Replays that are to grow with their input: topics, archives, batches."""
 
 import glob
+import json
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -33,6 +34,22 @@ def test_sent_topics_are_compressed_and_whole(spark, path):
     assert sorted(r.id for r in found.select(F.get_json_object("value", "$.id").cast("int").alias("id")).collect()) == list(range(300))
 
 
+def test_stored_topics_are_compressed_and_whole(spark, path, monkeypatch):
+    """Only new rows of the tables that are asked for; their files are a small part of the messages."""
+    from tidemart import schemas as S
+    kinds = ["insert", "update", "bootstrap-insert", "delete"]
+    changes = [(i, json.dumps({"type": kinds[i % 4], "table": ("order_info", "order_detail")[i % 3 == 0],
+                               "data": {"id": i, "order_id": i // 2, "create_time": "2001-01-01 10:00:00"}})) for i in range(600)]
+    monkeypatch.setattr(stream_plans.I.D, "change_log", lambda *_: spark.createDataFrame(changes, "seq BIGINT, value STRING"))
+    monkeypatch.setattr(stream_plans.I, "scratch_dir", lambda *_: path)
+    assert stream_plans.I.stored_topics(spark, "", "order_info", "order_detail") == path
+    files = glob.glob(f"{path}/topic=*/*/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    for table, is_line in (("order_info", False), ("order_detail", True)):
+        found = stream_plans.I.inserted(spark, path, table, S.ORDER_LINE if is_line else S.ORDER_HEADER)
+        assert sorted(r.id for r in found.collect()) == [i for i in range(600) if i % 2 == 0 and (i % 3 == 0) == is_line]
+
+
 def test_an_archive_is_read_a_few_messages_at_a_time(path, monkeypatch):
     """Stretches lie across row groups and files; no batch is larger than stated."""
     monkeypatch.setattr(archive, "ROWS", 4)
